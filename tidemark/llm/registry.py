@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import line_dedup, simhash, url_filter
+from tidemark.llm import bpe, line_dedup, simhash, url_filter
 
-MODULES = (line_dedup, simhash, url_filter)
+MODULES = (bpe, line_dedup, simhash, url_filter)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _m in MODULES:
