@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, line_dedup, mixing, simhash, url_filter
+from tidemark.llm import bpe, line_dedup, mixing, quality_classifier, simhash, url_filter
 
-MODULES = (bpe, line_dedup, mixing, simhash, url_filter)
+MODULES = (bpe, line_dedup, mixing, quality_classifier, simhash, url_filter)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _m in MODULES:
