@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, line_dedup, mixing, quality_classifier, quality_rules, simhash, url_filter
+from tidemark.llm import bpe, doc_fingerprints, line_dedup, mixing, quality_classifier, quality_rules, simhash, url_filter
 
-MODULES = (bpe, line_dedup, mixing, quality_classifier, quality_rules, simhash, url_filter)
+MODULES = (bpe, line_dedup, quality_rules, mixing, quality_classifier, url_filter, simhash, doc_fingerprints)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _m in MODULES:
