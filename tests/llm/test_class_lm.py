@@ -1,0 +1,95 @@
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tidemark.llm import class_lm as L
+
+
+def corpus(n, seed=3):
+    """Two 'languages' with own words and some junk; many rare words."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        k = rng.randrange(2)
+        words = [f"{'ab'[k]}{int(rng.paretovariate(0.6)) % 5000}{'xy'[k]}" for _ in range(rng.randint(0, 60))]
+        rows.append((i, rng.choice([" ", "\n", "  "]).join(words)))
+    return [*rows, (n, None), (n + 1, ""), (n + 2, " \t Only É\x1cé  \x0bNEW-word "), (n + 3, "w " * 30_000)]
+
+
+def brute(rows, model):
+    """Base and class scores token by token."""
+    split = lambda t: [w for w in bytes((t or "").encode()).lower().split()]
+    train = [split(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for t in train for w in [*t, None])
+    total, types = c.total(), len(c)
+    item_of = {}
+    for h, k in zip(model.head.hashes.tolist(), model.head.items.tolist(), strict=True):
+        item_of[h] = k
+
+    def cls(w):
+        if w is None:
+            return model.classes[0]
+        k = item_of.get(int(L._hashes([w])[0]), -1)
+        return model.classes[k if k >= 0 else 1 + L.TOP_WORDS + zlib.crc32(w[-3:]) % L.ENDINGS]
+
+    out = {}
+    for i, t in rows:
+        base = score = 0.0
+        before, tokens = model.classes[0], [*split(t), None]
+        for w in tokens:
+            base += math.log10((c[w] + 1) / (total + types + 1))
+            score += model.step[before, cls(w)] + (math.log10(c[w]) + model.known[cls(w)] if c[w] else model.unseen[cls(w)])
+            before = cls(w)
+        out[i] = (len(tokens), sum(c[w] > 0 for w in tokens), total, base, score)
+    return out, c, cls
+
+
+@pytest.mark.parametrize("head", [L.HEAD, 40])
+def test_query_against_brute_force(spark, tmp_path, monkeypatch, head):
+    monkeypatch.setattr(L, "HEAD", head)
+    rows = corpus(300)
+    spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, h int").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = L.op7_class_lm(spark, str(tmp_path)).collect()
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model, _ = L.train(docs.where(L.remainder("doc_id", 7) != 2))
+    want, c, cls = brute(rows, model)
+    assert len(got) == len(rows) and len(model.head.hashes) <= head
+    for r in got:
+        w = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == w[:3] and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
+        assert r.base_score == pytest.approx(w[3], rel=1e-9) and r.score == pytest.approx(w[4], rel=1e-9)
+    # probabilities after any class, over known words and one unseen word for each class but the end's, add up to 1
+    by_class = np.zeros(L.CLASSES)
+    for w, n in c.items():
+        by_class[cls(w)] += n * 10 ** model.known[cls(w)]
+    by_class[1:] += 10 ** model.unseen[1:]
+    has = np.array([k in {cls(w) for w in c} for k in range(L.CLASSES)])
+    assert np.allclose(by_class[has], 1, atol=1e-9)
+    assert np.allclose((10**model.step).sum(axis=1), 1)
+    held = [r for r in got if r.held_out and r.n_tokens > 5]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_exchange_finds_groups_and_never_loses_likelihood():
+    rng = np.random.default_rng(0)
+    n = np.zeros((41, 41))
+    for g in range(2):  # two groups of words that only follow their own
+        own = np.arange(1 + g * 20, 21 + g * 20)
+        n[np.ix_(own, own)] = rng.poisson(5, (20, 20))
+    n[0, 1:] = n[1:, 0] = 3
+    cls = L.exchange(n, classes=3)
+    assert cls[0] == 0 and len(set(cls[1:21])) == 1 and len(set(cls[21:])) == 1 and cls[1] != cls[21]
+
+
+def test_nulls_repeats_no_training_and_empty(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    docs = frame([(None, "a b"), (1, "a"), (1, "a")])
+    model, counts = L.train(docs)
+    got = sorted((r.doc_id or 0, r.n_tokens, r.n_known) for r in L.score(docs, model, counts).collect())
+    assert got == [(0, 3, 3), (1, 2, 2), (1, 2, 2)]
+    nothing, counts = L.train(docs.limit(0))
+    assert {(r.n_known, r.train_tokens, r.base_score) for r in L.score(docs, nothing, counts).collect()} == {(0, 0, 0.0)}
+    assert L.score(docs.limit(0), model, counts).count() == 0
