@@ -1 +1 @@
-
+"""Scalar functions: state machine, hashes, canonical texts and row mappers."""
