@@ -94,3 +94,9 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     out = M.mix_documents(df, M.Mix(budget=12)).collect()
     assert [r.copies for r in out] == [2, 2, 2]
     assert M.mix_documents(df.limit(0)).count() == 0 and M.mixture(df.limit(0)).columns == df.columns
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "en", "s", 7, 8, 9, 10)], "doc_id long, text string, lang string, source string, copies long, epochs long, take long, domain long")
+    (row,) = M.mixture(df, M.Mix(budget=2, domain="'d'")).collect()
+    assert (row.copies, row.epochs, row["take"], row.domain) == (7, 8, 9, 10)

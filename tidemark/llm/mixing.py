@@ -149,20 +149,25 @@ def plan(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "tex
     return dealt.join(last, [*LEVELS], "left").select(*LEVELS, "have", "take", "epochs", F.col("__cut.__h").alias("cut_hash"), F.col("__cut.__id").alias("cut_id"))
 
 
+def _counted(docs: DataFrame, mix: Mix, id_col: str, text_col: str) -> DataFrame:
+    """docs with its place in the tree, __tokens and __copies."""
+    leaves = plan(docs, mix, id_col, text_col).select(*LEVELS, F.col("epochs").alias("__epochs"), F.col("cut_hash").alias("__cut_hash"), F.col("cut_id").alias("__cut_id"))
+    placed = _leaf_side(place(docs, mix, id_col, text_col), cut(leaves))
+    h = _order(F.col("__epochs"), mix.seed)
+    inside = F.coalesce((h < F.col("__cut_hash")) | ((h == F.col("__cut_hash")) & (F.col("__id") <= F.col("__cut_id"))), F.lit(False))
+    return placed.withColumn("__copies", F.col("__epochs") + inside.cast("bigint")).drop("__epochs", "__cut_hash", "__cut_id", "__id")
+
+
 def mix_documents(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with __domain, __lang, __source, __tokens and ``copies``: how many times each document stands in the mixture."""
-    mix = mix or Mix()
-    leaves = cut(plan(docs, mix, id_col, text_col))
-    placed = _leaf_side(place(docs, mix, id_col, text_col), leaves.drop("have", "take"))
-    h = _order(F.col("epochs"), mix.seed)
-    inside = F.coalesce((h < F.col("cut_hash")) | ((h == F.col("cut_hash")) & (F.col("__id") <= F.col("cut_id"))), F.lit(False))
-    return placed.withColumn("copies", F.col("epochs") + inside.cast("bigint")).drop("epochs", "cut_hash", "cut_id", "__id")
+    """docs with __domain, __lang, __source, __tokens and ``copies`` (replaced if docs has it): how many times each document stands in
+    the mixture."""
+    return _counted(docs, mix or Mix(), id_col, text_col).withColumn("copies", F.col("__copies")).drop("__copies")
 
 
 def mixture(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mixture itself: the columns of docs, each row as often as it is picked."""
-    picked = mix_documents(docs, mix, id_col, text_col).where("copies > 0")
-    return picked.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    picked = _counted(docs, mix or Mix(), id_col, text_col).where("__copies > 0")
+    return picked.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
