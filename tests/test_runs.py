@@ -105,6 +105,8 @@ def test_drill_down(spark):
     out = {(r.pk, r.field): r for r in diagnose.inspect_diff(a, b, diffs=True).collect()}
     assert out[1, "target_hash"].verdict == "equal" and out[1, "target_text"].verdict == "differs" and "+other" in out[1, "target_text"]["diff"]
     assert (out[2, "pk"].verdict, out[3, "pk"].verdict) == ("only left", "only right")
+    named = spark.range(1).select(diagnose.files_named_in(F.lit('wrote file="/tmp/a-1.csv" and b.parquet; no c.txt'))).first()[0]
+    assert named == ["/tmp/a-1.csv", "b.parquet"]
     row = spark.range(1).select(*[diagnose.common_prefix(F.lit(x), F.lit(y)).alias(f"c{i}") for i, (x, y) in enumerate([("abc", "abd"), ("ab", "abc"), ("", "x"), ("q", "x")])]).first()
     assert list(row) == [2, 2, 0, 0]
 
@@ -136,6 +138,8 @@ def test_config_and_statements():
 def test_threads(monkeypatch):
     monkeypatch.delenv("N_THREADS", raising=False)
     assert tables.threads("N_THREADS", 4) == 4
+    monkeypatch.setenv("TIDEMARK_READ_PARTITIONS", "8")
+    assert tables.open_table("postgres://h/d").partitions == 8
     monkeypatch.setenv("N_THREADS", "8")
     assert tables.threads("N_THREADS", 4) == 8
     monkeypatch.setenv("N_THREADS", "0")

@@ -27,6 +27,11 @@ def error_counts(errors: DataFrame) -> DataFrame:
     return c.agg(of("source-only").alias("source_only"), of("target-only").alias("target_only"), of("drifted").alias("drifted"), F.count(F.lit(1)).alias("total"))
 
 
+def files_named_in(log: Column) -> Column:
+    """Paths of CSV and Parquet files that a log line names, as an array."""
+    return F.regexp_extract_all(log, F.lit(r"([^\s\"'=]+\.(?:csv|parquet))"), F.lit(1))
+
+
 def rows_of(df: DataFrame, pk: str, keys: DataFrame) -> DataFrame:
     """A table's rows for the keys of another (semi-join)."""
     return with_keys(df, pk, keys)

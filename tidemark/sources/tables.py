@@ -141,5 +141,6 @@ class Database:
 
 
 def open_table(url: str) -> Files | Database:
-    """Reader for a connection string: a database by its scheme, else files."""
-    return Files(url) if database_of(url) == "files" else Database(url)
+    """Reader for a connection string: a database by its scheme, else files. TIDEMARK_READ_PARTITIONS sets in how many ranges of the
+    key a database is read at once."""
+    return Files(url) if database_of(url) == "files" else Database(url, partitions=threads("TIDEMARK_READ_PARTITIONS", 1))
