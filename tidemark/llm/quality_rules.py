@@ -86,8 +86,9 @@ def _buckets(docs: DataFrame, text: Column) -> DataFrame:
 def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
     """log p_target - log p_raw by bucket. trusted: one column of ids."""
     mark = trusted.select(F.col(trusted.columns[0]).alias("__id")).where("__id is not null").distinct()
-    rows = docs.select(F.col(id_col).alias("__id"), whole(text_col).alias("__t")).join(mark.withColumn("__in", F.lit(1)), "__id", "left")
-    rows = _buckets(rows, F.col("__t")).select("__in", F.explode("__b").alias("b"))
+    rows = docs.select(F.col(id_col).alias("__id"), whole(text_col).alias("__t")).join(mark.withColumn("__in", F.lit(1)).hint("merge"), "__id", "left")
+    # explode would have the optimizer filter texts without n-grams first, and make all n-grams twice for it
+    rows = _buckets(rows, F.col("__t")).select("__in", F.explode_outer("__b").alias("b")).where("b is not null")
     counts = rows.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("__in").alias("target"))
     found = {r.b: (r.raw, r.target) for r in counts.collect()}  # BUCKETS rows at most
     n_raw, n_target = (sum(x[i] for x in found.values()) + PRIOR * BUCKETS for i in (0, 1))
