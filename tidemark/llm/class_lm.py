@@ -257,17 +257,18 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[ClassModel, DataFram
         if held > HEAD - 1:
             break
         least = r.b
-    top = counts.where((bin_ >= least) | (F.col("h") == END)).select("h", "n").toPandas().sort_values("h")
-    h, n = top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+    top = counts.where((bin_ >= least) | (F.col("h") == END)).select("h", "n").toArrow().sort_by("h")
+    h, n = top["h"].to_numpy(), top["n"].to_numpy()
     items = np.full(len(h), -1)
     order = np.lexsort((h, -n))
     order = order[h[order] != END][:TOP_WORDS]
     items[order] = 1 + np.arange(len(order))
     items[h == END] = 0
     head = Head(h, n, items.astype(np.int64))
-    cells = texts.mapInArrow(_bigram_batches(head), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # ITEMS squared at most
+    cells = texts.mapInArrow(_bigram_batches(head), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # ITEMS squared at most
     grid = np.zeros(ITEMS * ITEMS)
-    grid[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(float)
+    grid[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    del cells
     grid = grid.reshape(ITEMS, ITEMS)
     once = np.zeros(ITEMS)
     for r in counts.where("n = 1").groupBy("e").agg(F.count(F.lit(1)).alias("k")).collect():
