@@ -44,3 +44,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder, with no lineage behind them."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settled(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows where a condition on computed columns holds. Those columns are made once: a filter would otherwise be moved below
+    the projection that makes them, and make them again for each mention. (Filters don't move below what is not deterministic.)"""
+    return df.withColumn("__part", F.spark_partition_id()).where(condition & (F.col("__part") >= 0)).drop("__part")
