@@ -80,6 +80,8 @@ def test_empty_and_extra_columns(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b", "en", "s", 3, 5, "x"), (None, None, None, None, None, None, None)], COLUMNS + ", score int, n_lines string")
     for d in (docs, docs.limit(0)):
         for k, (_, stage) in enumerate(P.STAGES[:-1]):
-            assert stage(spark, d, str(tmp_path)).columns == docs.columns, k
+            out = stage(spark, d, str(tmp_path))
+            assert out.dtypes == docs.dtypes, k
+            assert k == 3 or all((r.score, r.n_lines) in ((5, "x"), (None, None)) for r in out.collect())
         assert P.tokens(spark, d, str(tmp_path)).count() == d.count()
     assert zlib.crc32(b"1") % quality_classifier.FOLDS != 0

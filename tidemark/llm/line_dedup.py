@@ -60,8 +60,9 @@ def later_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return later.select("id", "th", F.when(same, F.greatest("at", F.col("first.at") + window)).otherwise(F.col("at")).alias("lo"), (F.col("at") + window - 1).alias("hi"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
-    """docs with repeated passages taken out of ``text_col``, and the columns n_lines and n_removed (lines with words)."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with repeated passages taken out of ``text_col``, and the columns n_lines and n_removed (lines with words), or by other
+    names; columns of docs that bear these names are replaced."""
     gone = (
         later_places(docs, id_col, text_col, window)
         .groupBy(F.col("id").alias("__id"), F.col("th").alias("__th"))
@@ -78,8 +79,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return both.withColumns(
         {
             text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(rest),
-            "n_lines": F.size("__at").cast("bigint"),
-            "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("bigint"),
+            names[0]: F.size("__at").cast("bigint"),
+            names[1]: F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("bigint"),
         }
     ).drop("__lines", "__at", "__gone", "__keep")
 

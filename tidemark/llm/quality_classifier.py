@@ -177,11 +177,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     return fit_rules(data[[f"__s_{s}" for s in SHAPE]].to_numpy(float), data["__y"].to_numpy(int))
 
 
-def score(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
-    """docs with ``score`` (probability of label 1) and ``predicted`` (1 from THRESHOLD on)."""
+def score(docs: DataFrame, model: RuleModel, text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with ``score`` (probability of label 1) and ``predicted`` (1 from THRESHOLD on), or by other names; columns of docs
+    that bear these names are replaced."""
     out = with_shape(docs, text_col)
-    out = out.withColumn("score", model.score()).drop(*[f"__s_{s}" for s in SHAPE])
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    out = out.withColumn(names[0], model.score()).drop(*[f"__s_{s}" for s in SHAPE])
+    return out.withColumn(names[1], (F.col(names[0]) >= THRESHOLD).cast("int"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
