@@ -151,7 +151,8 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     roots = linked.join(distinct, linked["node"] == distinct["fp"]).select("node", "root", "first")
     least = roots.groupBy("root").agg(F.min("first").alias("component"))
     named = roots.join(least, "root").select(F.col("node").alias("fp"), "component")
-    by_print = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+    # cut, so that the last join has plain exchanges on both sides and a fingerprint of very many copies can be split
+    by_print = cut(distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id")))
     return made.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
