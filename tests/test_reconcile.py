@@ -1,3 +1,4 @@
+import json
 import random
 from collections import Counter
 
@@ -135,6 +136,20 @@ def test_error_lists(spark):
     assert tuple(R.error_list(R.empty_state(spark)).first()) == ("", "", 0)
 
 
+def test_error_list_has_every_key(spark):
+    n = 100_500
+    kinds = dict(part.split(maxsplit=1) for part in R.STATE.split(", "))
+    state = spark.range(n, numPartitions=3).selectExpr("id AS pk", "true AS validation_error", "id AS source_signature", "2L AS target_count")
+    state = state.selectExpr(*[f"cast({c if c in state.columns else 'null'} AS {kinds[c]}) {c}" for c in R.STATE_COLUMNS])
+    bad = R.errors(state).count()
+    assert bad == n
+    row = R.error_list(state).first()
+    assert row.n_errors == n and row.error_pks == ";".join(map(str, range(n)))
+    assert [x["pk"] for x in json.loads(row.error_pks_json)] == list(range(n))
+    chunks = R.error_chunks(state).orderBy("chunk").collect()
+    assert max(c.n for c in chunks) <= 10_000 and ";".join(c.error_pks for c in chunks) == row.error_pks
+
+
 def test_state_store(spark, tmp_path):
     store = StateStore(spark, f"{tmp_path}/state")
     assert store.current() is None and store.read().count() == 0

@@ -157,18 +157,39 @@ def errors(state: DataFrame) -> DataFrame:
     return with_status(state).where(F.col("status") == sm.ERROR).drop("status")
 
 
-def error_list(state: DataFrame, most: int = 100_000) -> DataFrame:
-    """One row for people: n_errors, and the keys in error joined by semicolons and as JSON, in order of the key. The texts show
-    the first ``most`` rows, so that one row can hold them; ``errors`` gives all."""
-    bad = errors(state).select("pk", "source_signature", "target_signature")
-    shown = bad.orderBy("pk").limit(most)
+def error_chunks(state: DataFrame, most: int | None = None, each: int = 10_000) -> DataFrame:
+    """All keys in error, or the first ``most``, in texts of ``each`` keys at most: chunk (rises with the keys), n, error_pks, objects
+    (JSON objects parted by commas). Keys are dealt by range, so no task holds them all."""
+    shown = errors(state).select("pk", "source_signature", "target_signature").orderBy("pk")
+    if most is not None:
+        shown = shown.limit(most)
+    at = F.monotonically_increasing_id()
+    low = (1 << 33) - 1
+    numbered = shown.withColumn("at", at).withColumn("chunk", F.col("at") - F.col("at").bitwiseAND(F.lit(low)) % each)
     row = F.struct(F.col("pk"), F.col("source_signature"), F.col("target_signature"))
-    some = shown.agg(F.sort_array(F.collect_list(row)).alias("r"))
-    texts = some.select(
+    made = numbered.groupBy("chunk").agg(F.sort_array(F.collect_list(row)).alias("r"))
+    return made.select(
+        "chunk",
+        F.size("r").cast("bigint").alias("n"),
         F.array_join(F.transform("r", lambda x: x["pk"].cast("string")), ";").alias("error_pks"),
-        F.when(F.size("r") == 0, "").otherwise(F.to_json("r", {"ignoreNullFields": "false"})).alias("error_pks_json"),
+        F.array_join(F.transform("r", lambda x: F.to_json(x, {"ignoreNullFields": "false"})), ",").alias("objects"),
+    )
+
+
+def error_list(state: DataFrame, most: int | None = None) -> DataFrame:
+    """One row for people: n_errors, and the keys in error joined by semicolons and as JSON, in order of the key. All of them, unless
+    ``most`` bounds the texts. One row holds 2 GB at most; beyond that it fails, and ``error_chunks`` or ``errors`` give all."""
+    sorted_ = F.sort_array(F.collect_list(F.struct("chunk", "n", "error_pks", "objects")))
+    some = error_chunks(state, most).agg(sorted_.alias("c"))
+    n = F.aggregate("c", F.lit(0).cast("bigint"), lambda x, y: x + y["n"])
+    texts = some.select(
+        F.array_join("c.error_pks", ";").alias("error_pks"),
+        F.when(F.size("c") == 0, "").otherwise(F.concat(F.lit("["), F.array_join("c.objects", ","), F.lit("]"))).alias("error_pks_json"),
+        n.alias("n_errors"),
     )
-    return texts.withColumn("n_errors", bad.agg(F.count(F.lit(1))).scalar())
+    if most is None:
+        return texts
+    return texts.withColumn("n_errors", errors(state).agg(F.count(F.lit(1))).scalar())
 
 
 def missing_rows(state: DataFrame) -> DataFrame:
