@@ -9,7 +9,8 @@ and the start of a text counts as after an end.
 *Classes.* Items are the end, the ``TOP_WORDS`` most frequent words, and ``ENDINGS`` groups of all other words by a hash of
 their last three bytes. Every word, seen or not, thus has a class without being looked up. Item bigrams are counted over all
 training texts; exchange clustering on that matrix (at most 1024 x 1024, so on the driver) moves one item at a time to the
-class that raises the class bigrams' likelihood most, until a sweep moves none. The end keeps a class of its own.
+class that raises the class bigrams' likelihood most, until a sweep moves none, or for ``SWEEPS`` sweeps: a clustering that has
+not settled by then is used as it is. The end keeps a class of its own.
 
 *Transitions* are class bigram counts, interpolated with class frequencies. *Emissions* are a word's share of its class, less
 a mass for unseen words: the share of tokens in the class that are words seen once.
