@@ -6,7 +6,7 @@ from collections import Counter
 import corpus_pipeline as P
 import test_line_dedup
 import test_mixing
-import test_simhash
+import test_near_copies
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, mixing, quality_classifier
@@ -59,9 +59,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {r.doc_id: r.text for r in kept[1]} == want and len(want) < len(before)
     assert all(r.n_chars == len(r.text) for r in kept[1] if r.text)
     # near copies
-    prints = {r.doc_id: test_simhash.brute_fingerprint(r.text) for r in kept[1]}
-    roots = test_simhash.brute_components(prints)
-    assert sorted(r.doc_id for r in kept[2]) == sorted({*roots.values()}) and len(kept[2]) < len(kept[1])
+    assert sorted(r.doc_id for r in kept[2]) == test_near_copies.brute_kept([(r.doc_id, r.text) for r in kept[1]]) and len(kept[2]) < len(kept[1])
     # mixture
     copies, _ = test_mixing.brute([(r.doc_id, r.text, r.lang, r.source) for r in kept[2]], mixing.Mix())
     assert Counter(r.doc_id for r in kept[3]) == Counter({i: n for i, n in copies.items() if n})
@@ -85,3 +83,14 @@ def test_empty_and_extra_columns(spark, tmp_path):
             assert k == 3 or all((r.score, r.n_lines) in ((5, "x"), (None, None)) for r in out.collect())
         assert P.tokens(spark, d, str(tmp_path)).count() == d.count()
     assert zlib.crc32(b"1") % quality_classifier.FOLDS != 0
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    """Rows that only share an id, or have none, are documents of their own: none goes with a copy of another."""
+    words = lambda k: " ".join(f"{w}{k}" for w in "stone river wind light field house bank tree".split() * 3)
+    rows = [(5, words(0)), (None, words(0)), (None, words(1)), (7, words(2)), (8, words(2)), (8, words(3)), (None, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], COLUMNS)
+    kept = {(r.doc_id, r.text) for r in P.near_dups(spark, docs, "").collect()}
+    assert kept == {(5, words(0)), (None, words(1)), (7, words(2)), (8, words(3)), (9, "")}
+    assert {(r.doc_id, r.text) for r in P.lines(spark, docs, "").collect()} == set(rows)
+    assert P.tokens(spark, docs, "").count() == len(rows) and P.mix(spark, docs, "").columns == docs.columns

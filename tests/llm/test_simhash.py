@@ -5,6 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash as S
+from tidemark.llm.shared import meet
 
 
 def brute_fingerprint(text):
@@ -90,3 +91,40 @@ def test_keep_one_and_empty(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     assert sorted(r.fp for r in S.keep_one(df).collect()) == ["b", "d", "d"]
     assert S.near_dups(df.limit(0)).count() == 0 and S.keep_one(df.where(F.lit(False))).count() == 0
+
+
+def test_keep_one_keeps_unrelated_rows_with_the_same_id(spark):
+    same, other = "one two three four five six", "quite another text that stands alone here"
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda rows: sorted(map(repr, map(tuple, S.keep_one(frame(rows)).collect())))
+    assert kept([(5, same), (None, same), (None, other)]) == sorted([repr((5, same)), repr((None, other))])
+    assert kept([(0, same), (1, same), (1, other)]) == sorted([repr((0, same)), repr((1, other))])
+    assert kept([(1, same), (1, other), (1, same)]) == sorted([repr((1, same)), repr((1, same)), repr((1, other))])
+
+
+def test_buckets_come_from_pivot_distances(spark, monkeypatch):
+    """Linked fingerprints share a bucket; unrelated ones only where references are too few to tell blocks apart."""
+    rng = random.Random(1)
+    base = [rng.getrandbits(64) for _ in range(300)]
+    near = [x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for x in base]
+    df = spark.createDataFrame([(S._signed(v),) for v in {*base, *near}], "fp long")
+    distances = {r.fp: r.pivots for r in S.pivot_table(df).collect()}
+    assert all(distances[S._signed(x)] == [(x ^ r).bit_count() for r in S.references()] for x in base)
+    few, crowd = S.candidates(df)
+    shared = {(r.t, r.key): [] for r in few.collect()}
+    for r in few.collect():
+        shared[r.t, r.key].append(r.fp)
+    together = {frozenset((a, b)) for fps in shared.values() for a in fps for b in fps if a != b}
+    assert all(frozenset((S._signed(x), S._signed(y))) in together for x, y in zip(base, near, strict=True) if x != y)
+    assert crowd.count() == 0 and len(together) < 310
+    monkeypatch.setattr(S, "PIVOTS", 1)
+    monkeypatch.setattr(S, "CROWD", 1 << 30)
+    fewer = S.candidates(df)[0].groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0]
+    assert fewer > 10 * len(together)
+
+
+def test_meet_is_a_join_that_keeps_hot_keys_apart(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id") % 300).alias("k"), "id")
+    side = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("m")).where("k <> 5")
+    got = meet(rows, side, ["k"], "n", 5000)
+    assert sorted(map(tuple, got.select("k", "id", "n", "m").collect())) == sorted(map(tuple, rows.join(side, "k").select("k", "id", "n", "m").collect()))

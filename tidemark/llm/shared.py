@@ -50,3 +50,17 @@ def settled(df: DataFrame, condition: Column) -> DataFrame:
     """The rows where a condition on computed columns holds. Those columns are made once: a filter would otherwise be moved below
     the projection that makes them, and make them again for each mention. (Filters don't move below what is not deterministic.)"""
     return df.withColumn("__part", F.spark_partition_id()).where(condition & (F.col("__part") >= 0)).drop("__part")
+
+
+def meet(rows: DataFrame, side: DataFrame, on: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with side, which has each key once and in ``size`` how many of the rows have it. ``total`` is the number of rows.
+
+    Keys of over a ten-thousandth of the rows (and over 100) are at most 10,000 in number, whatever the data: they go to all tasks,
+    so their rows stay where they are. All other keys are joined by a shuffle, where no key is hot. Keys are never null.
+    """
+    most = max(100, total // 10_000)
+    hot = side.where(F.col(size) > most).withColumn("__hot", F.lit(True))
+    tried = rows.join(F.broadcast(hot), on, "left")
+    there = tried.where("__hot").drop("__hot")
+    rest = tried.where("__hot IS NULL").select(*rows.columns)
+    return there.unionByName(rest.join(side.where(F.col(size) <= most), on, how))

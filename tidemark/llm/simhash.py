@@ -3,23 +3,27 @@
 Fingerprints are made in Arrow batches. Everything after them works on distinct fingerprints, so copies cost nothing, and is
 plain DataFrame code:
 
-1. *Pivot distance table.* Each fingerprint gets its Hamming distances to reference fingerprints. ``BLOCKS`` times 16 of
-   them are aligned with blocks of bits: the references with a single bit set. The distance to such a reference, less the
-   distance to the all-zero one, tells that bit, so the distances of a block are one coordinate vector of 16. Two fingerprints
-   that differ in two bits at most agree in all coordinates of two of four blocks at least. The six pairs of blocks
-   therefore give six join keys that lose no link. ``PIVOTS`` more references, spread over the whole space, are kept as an
-   array of distances.
-2. *Discard.* Fingerprints that share a key are a candidate pair only if no coordinate differs by more than two (the
-   triangle inequality), and a link only if their true distance is two or less.
-3. *Crowded keys.* Where over ``CROWD`` fingerprints share a key, pairs would grow with the square of the group. Their
-   members are linked over ball centres instead: two fingerprints are within two bits exactly if some 64-bit value lies
-   within one bit of both. Each member names its 65 centres, and all members of a centre link to the smallest. A centre
-   has 65 members at most. No link is lost, as a linked pair shares a key, and that key is either crowded or not.
-4. *Components* by alternating large-star and small-star steps until nothing changes.
-
-Cases: a null text counts as empty; texts without words have fingerprint 0 and link like any other; rows that share an id
-are one document for component ids (each row is returned); null ids are never a component's id unless it has no other;
-empty tables give empty results.
+1. *Pivot distance table.* Each fingerprint gets its Hamming distances to ``1 + BLOCKS * PIVOTS`` reference fingerprints: the
+   all-zero one, and for each block of 16 bits ``PIVOTS`` ones that have bits in that block only. What a block's distances have
+   over the distance to the all-zero reference is that block's coordinate vector. It depends on the block alone, and all but
+   equal blocks differ in it (12 references tell 57,344 to 65,536 of the 65,536 values of a block apart).
+2. *Candidates.* Two bits touch two of four blocks at most, so linked fingerprints have equal coordinate vectors in two blocks
+   at least: each fingerprint is put in six buckets, by the vectors of two blocks each, and no link is lost. References spread
+   over the whole space can't do this: two bits move their distances by up to two, where the distances of unrelated fingerprints
+   differ by some six, so each such pivot discards two of three pairs only.
+3. *Discard and verify.* Fingerprints that share a bucket are compared: if any of their distances differ by more than two the
+   pair goes (triangle inequality), the true distance is taken of the rest.
+4. *Crowded buckets.* In a bucket of over ``CROWD`` pairs would grow with the square. There the references are the values at
+   distance one or less of a member: two fingerprints are within two bits exactly if one such reference is within one bit of
+   both. All members of a reference are linked to the smallest; it has 65 members at most. No link is lost, as a linked
+   pair shares a bucket, and that is crowded or not.
+5. *Components* by alternating large-star and small-star steps until nothing changes.
+
+No key is hot: buckets, fingerprints and nodes of very many rows are known by their counts and joined apart (``shared.meet``).
+
+Cases: a null text counts as empty; texts without words have fingerprint 0 and link like any other; rows that share an id and a
+text are one document, rows that share only the id are not; null ids are never a component's id unless it has no other; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,11 +34,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut, table
+from tidemark.llm.shared import cut, meet, table, whole
 
 LINK_BITS = 2
 BLOCKS, BLOCK_BITS = 4, 16
-PIVOTS = 16
+PIVOTS = 12  # references for each block
 CROWD = 32
 PART = 50_000  # shingles hashed at once: bounds memory for very long texts
 
@@ -68,59 +72,68 @@ def _fingerprint_batches(batches: Iterator) -> Iterator:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            made = [fingerprint(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x - (1 << 64) if x >> 63 else x for x in made], pa.int64())], ["doc_id", "fp"])
+            made = [fingerprint(t) for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_signed(x) for x in made], pa.int64())], ["doc_id", "text_hash", "fp"])
+
+
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(whole(text_col))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) for each row."""
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprint_batches, "doc_id bigint, fp bigint")
-
-
-def references(n: int = PIVOTS) -> list[int]:
-    """Reference fingerprints spread over the space, as signed longs: multiples of the 64-bit golden ratio, mixed."""
-    out = []
-    for i in range(1, n + 1):
-        x = i * 0x9E3779B97F4A7C15 % (1 << 64)
-        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % (1 << 64)
-        x ^= x >> 27
-        out.append(x - (1 << 64) if x >> 63 else x)
-    return out
+    """doc_id, text_hash and fp (the fingerprint's bits as a signed long) for each row."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_fingerprint_batches, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def pivot_table(distinct: DataFrame) -> DataFrame:
-    """fp, coords (distances to the spread references) and blocks (for each block its aligned references' distances, less the
-    distance to the all-zero reference, as the bits that they tell)."""
-    fp = F.col("fp")
-    aligned = [fp.bitwiseAND(F.lit(_signed(((1 << BLOCK_BITS) - 1) << (BLOCK_BITS * b)))) for b in range(BLOCKS)]
-    coords = [F.bit_count(fp.bitwiseXOR(F.lit(r))).cast("tinyint") for r in references()]
-    return distinct.select("fp", F.array(*coords).alias("coords"), F.array(*aligned).alias("blocks"))
+def references() -> list[int]:
+    """The reference fingerprints, block by block after the all-zero one: multiples of the 64-bit golden ratio, mixed, cut to a block."""
+    out = [0]
+    for b in range(BLOCKS):
+        for i in range(1, PIVOTS + 1):
+            x = i * 0x9E3779B97F4A7C15 % (1 << 64)
+            x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+            x ^= x >> 27
+            out.append(x & (((1 << BLOCK_BITS) - 1) << (BLOCK_BITS * b)))
+    return out
+
+
+def pivot_table(prints: DataFrame) -> DataFrame:
+    """prints with ``pivots``: the distances of fp to the references."""
+    return prints.withColumn("pivots", F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(r)))).cast("tinyint") for r in references()]))
+
 
+def _buckets() -> Column:
+    """A struct (t, key) for each choice of the blocks that two links agree in: hashes of their coordinates."""
+    at = lambda b: [F.get("pivots", F.lit(1 + b * PIVOTS + i)) - F.get("pivots", F.lit(0)) for i in range(PIVOTS)]
+    some = combinations(range(BLOCKS), BLOCKS - LINK_BITS)
+    return F.array(*[F.struct(F.lit(t).cast("tinyint").alias("t"), F.xxhash64(F.lit(t), *[c for b in blocks for c in at(b)]).alias("key")) for t, blocks in enumerate(some)])
 
-def _keys(blocks: Column) -> Column:
-    agree = BLOCKS - LINK_BITS
-    return F.array(*[F.struct(F.lit(k).cast("tinyint").alias("t"), sum((F.get(blocks, b) for b in some[1:]), F.get(blocks, some[0])).alias("key")) for k, some in enumerate(combinations(range(BLOCKS), agree))])
+
+def candidates(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints in the buckets of 2 to CROWD (t, key, fp, pivots), and the distinct ones in larger buckets (fp)."""
+    keyed = pivot_table(distinct.select("fp")).select("fp", F.inline(_buckets()))
+    total = 6 * distinct.count()
+    sizes = cut(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    few = keyed.join(sizes.where(F.col("n") <= CROWD), ["t", "key"]).select("t", "key", "fp")
+    crowd = meet(keyed, sizes.where(F.col("n") > CROWD), ["t", "key"], "n", total).select("fp").distinct()
+    return cut(pivot_table(few)), cut(crowd)
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """Edges a > b between distinct fingerprints whose components are those of all pairs at LINK_BITS or less."""
-    keyed = pivot_table(distinct).select("fp", "coords", F.inline(_keys(F.col("blocks"))))
-    shared = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(keyed.join(shared, ["t", "key"]))
-
-    a, b = members.where(F.col("n") <= CROWD).alias("a"), members.where(F.col("n") <= CROWD).alias("b")
-    near = F.lit(True)
-    for i in range(PIVOTS):
-        near = near & (F.abs(F.get("a.coords", F.lit(i)) - F.get("b.coords", F.lit(i))) <= LINK_BITS)
+    few, crowd = candidates(distinct)
+    a, b = few.alias("a"), few.alias("b")
+    near = (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") > F.col("b.fp"))
+    for i in range(len(references())):
+        near = near & (F.abs(F.get("a.pivots", F.lit(i)) - F.get("b.pivots", F.lit(i))) <= LINK_BITS)
     true = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= LINK_BITS
-    on = (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") > F.col("b.fp"))
-    pairs = a.join(b, on & near & true).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    pairs = a.join(b, near & true).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
-    crowd = members.where(F.col("n") > CROWD).select("fp").distinct()
     centres = crowd.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])).alias("centre"))
     star = centres.groupBy("centre").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     over = centres.join(star, "centre").where("fp <> b").select(F.col("fp").alias("a"), "b")
@@ -133,33 +146,43 @@ def components(edges: DataFrame) -> DataFrame:
     mark = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
     before = None
     while before != (now := mark(edges)):
-        before = now
+        before, total = now, 2 * now[0]
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = meet(both.where("b > a"), low, ["a"], "n", total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = meet(large, low, ["a"], "n", total).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def named(made: DataFrame, edges: DataFrame) -> DataFrame:
+    """made (a checkpoint with doc_id and fp) with component_id: the smallest doc_id reachable from the row's fp over the edges between fps."""
+    distinct = cut(made.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    linked = cut(components(edges))
+    roots = linked.join(distinct, linked["node"] == distinct["fp"]).select("node", "root", "first")
+    least = roots.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("size"))
+    by_node = meet(roots, least, ["root"], "size", linked.count()).select(F.col("node").alias("fp"), "component")
+    by_print = cut(distinct.join(by_node, "fp", "left").select("fp", "n", F.coalesce("component", "first").alias("component_id")))
+    return meet(made, by_print, ["fp"], "n", made.count()).drop("n")
+
+
+def without_copies(docs: DataFrame, made: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that are not told in made (doc_id, text_hash, component_id) to have a smaller id in their component."""
+    over = made.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__over"), F.col("text_hash").alias("__text_hash")).distinct()
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("__over")) & (text_hash(text_col) == F.col("__text_hash"))
+    return docs.join(cut(over), same, "left_anti")
+
+
 def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable over links, itself included) for each row."""
+    """doc_id, text_hash, fp and component_id (smallest doc_id reachable over links, itself included) for each row."""
     made = cut(fingerprints(docs, id_col, text_col))
-    distinct = made.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = components(links(distinct.select("fp")))
-    roots = linked.join(distinct, linked["node"] == distinct["fp"]).select("node", "root", "first")
-    least = roots.groupBy("root").agg(F.min("first").alias("component"))
-    named = roots.join(least, "root").select(F.col("node").alias("fp"), "component")
-    # cut, so that the last join has plain exchanges on both sides and a fingerprint of very many copies can be split
-    by_print = cut(distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id")))
-    return made.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return named(made, links(made.select("fp").distinct()))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of their component; all columns stay."""
-    over = near_dups(docs, id_col, text_col).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__over")).distinct()
-    return docs.join(over, F.col(id_col).cast("bigint").eqNullSafe(F.col("__over")), "left_anti")
+    return without_copies(docs, near_dups(docs, id_col, text_col), id_col, text_col)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
