@@ -56,3 +56,26 @@ def test_long_text_nulls_and_empty(spark):
     docs = spark.createDataFrame([(None, text), (7, text), (8, text + " end"), (9, "x " * 9), (9, "y z")], "doc_id long, text string")
     assert sorted(r.doc_id for r in N.keep_one(docs).collect()) == [7, 9, 9]
     assert N.keep_one(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [2, 8])
+def test_crowds_lose_no_link(spark, monkeypatch, crowd):
+    """One large group around a text, one around a far edit of it, and chains away from both: the links are those of all pairs."""
+    monkeypatch.setattr(N, "CROWD", crowd)
+    rng = random.Random(crowd)
+
+    def edit(words, k):
+        words = list(words)
+        for at in rng.sample(range(len(words)), k):
+            words[at] = f"v{rng.randrange(10**6)}"
+        return words
+
+    base = [f"w{i}" for i in range(120)]
+    second = edit(base, 5)
+    texts = [base, second, *[edit(base, rng.randint(0, 6)) for _ in range(90)], *[edit(second, rng.randint(0, 4)) for _ in range(60)]]
+    for _ in range(30):
+        texts.append(edit(texts[-1], 1))
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(r.doc_id for r in N.keep_one(docs).collect()) == brute_kept(rows)

@@ -92,5 +92,6 @@ def test_null_and_repeated_ids(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], COLUMNS)
     kept = {(r.doc_id, r.text) for r in P.near_dups(spark, docs, "").collect()}
     assert kept == {(5, words(0)), (None, words(1)), (7, words(2)), (8, words(3)), (9, "")}
-    assert {(r.doc_id, r.text) for r in P.lines(spark, docs, "").collect()} == set(rows)
+    left = {(r.doc_id, r.text) for r in P.lines(spark, docs, "").collect()}  # of the copies one place stays
+    assert left >= {(None, words(1)), (8, words(3)), (None, None), (9, "")} and len(left) == 6
     assert P.tokens(spark, docs, "").count() == len(rows) and P.mix(spark, docs, "").columns == docs.columns
