@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import class_lm as L
 
@@ -19,58 +20,99 @@ def corpus(n, seed=3):
     return [*rows, (n, None), (n + 1, ""), (n + 2, " \t Only É\x1cé  \x0bNEW-word "), (n + 3, "w " * 30_000)]
 
 
-def brute(rows, model):
-    """Base and class scores token by token."""
-    split = lambda t: [w for w in bytes((t or "").encode()).lower().split()]
-    train = [split(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
-    c = Counter(w for t in train for w in [*t, None])
-    total, types = c.total(), len(c)
-    item_of = {}
-    for h, k in zip(model.head.hashes.tolist(), model.head.items.tolist(), strict=True):
-        item_of[h] = k
+def split(text):
+    return bytes((text or "").encode()).lower().split()
+
+
+def classes_of(model, words):
+    """Class by word hash, of all training words."""
+    out = dict(zip(model.head.hashes.tolist(), model.classes[model.head.ranks].tolist(), strict=True))
+    return out | {r.h: r.cls for r in words.collect()}
 
-    def cls(w):
-        if w is None:
-            return model.classes[0]
-        k = item_of.get(int(L._hashes([w])[0]), -1)
-        return model.classes[k if k >= 0 else 1 + L.TOP_WORDS + zlib.crc32(w[-3:]) % L.ENDINGS]
 
+def brute(rows, by_hash):
+    """The model from the classes of training words alone, and each text's scores token by token."""
+    train = [[*split(t), None] for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for t in train for w in t)
+    total, types = c.total(), len(c)
+    cls = {w: 0 if w is None else by_hash[int(L._hashes([w])[0])] for w in c}
+    assert all(k > 0 for w, k in cls.items() if w is not None)
+    pairs = Counter((cls[a], cls[b]) for t in train for a, b in zip([None, *t], t, strict=False))
+    freq, once = Counter(), Counter()
+    endings = [Counter() for _ in range(L.ENDINGS)]
+    for w, n in c.items():
+        freq[cls[w]] += n
+        if w is not None and n == 1:
+            once[cls[w]] += 1
+            endings[zlib.crc32(w[-3:]) % L.ENDINGS][cls[w]] += 1
+    most = min(range(1, L.CLASSES), key=lambda k: (-once[k], k))
+    new = [min(e, key=lambda k: (-e[k], k)) if e else most for e in endings]
+    from_ = Counter()
+    for (a, _), n in pairs.items():
+        from_[a] += n
+    unigram = [(freq[k] + 1) / (total + L.CLASSES) for k in range(L.CLASSES)]
+    step = lambda a, b: (pairs[a, b] + L.CLASSES * unigram[b]) / (from_[a] + L.CLASSES)
+    unseen = lambda k: (once[k] + 0.5) / (freq[k] + 1)
+    known = lambda w: c[w] / freq[cls[w]] * (1 if w is None else 1 - unseen(cls[w]))
     out = {}
     for i, t in rows:
         base = score = 0.0
-        before, tokens = model.classes[0], [*split(t), None]
+        before, tokens = 0, [*split(t), None]
         for w in tokens:
+            k = cls[w] if w in c else new[zlib.crc32(w[-3:]) % L.ENDINGS]
             base += math.log10((c[w] + 1) / (total + types + 1))
-            score += model.step[before, cls(w)] + (math.log10(c[w]) + model.known[cls(w)] if c[w] else model.unseen[cls(w)])
-            before = cls(w)
+            score += math.log10(step(before, k)) + math.log10(known(w) if w in c else unseen(k))
+            before = k
         out[i] = (len(tokens), sum(c[w] > 0 for w in tokens), total, base, score)
-    return out, c, cls
+    return out, c, cls, train, step, known, unseen
 
 
-@pytest.mark.parametrize("head", [L.HEAD, 40])
-def test_query_against_brute_force(spark, tmp_path, monkeypatch, head):
+@pytest.mark.parametrize(("head", "seed"), [(L.HEAD, L.SEED), (40, 10)])
+def test_query_against_brute_force(spark, tmp_path, monkeypatch, head, seed):
     monkeypatch.setattr(L, "HEAD", head)
+    monkeypatch.setattr(L, "SEED", seed)
     rows = corpus(300)
     spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, h int").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
     got = L.op7_class_lm(spark, str(tmp_path)).collect()
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    model, _ = L.train(docs.where(L.remainder("doc_id", 7) != 2))
-    want, c, cls = brute(rows, model)
-    assert len(got) == len(rows) and len(model.head.hashes) <= head
+    parts, *learned = L.encode(spark.read.parquet(f"{tmp_path}/documents.parquet"), L.remainder("doc_id", 7) != 2)
+    model, words = L.fit(parts, *learned)
+    want, c, cls, train, step, known, unseen = brute(rows, classes_of(model, words))
+    assert len(got) == len(rows) and model.head.size <= head and model.head.size + words.count() == len(c)
     for r in got:
         w = want[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == w[:3] and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
         assert r.base_score == pytest.approx(w[3], rel=1e-9) and r.score == pytest.approx(w[4], rel=1e-9)
-    # probabilities after any class, over known words and one unseen word for each class but the end's, add up to 1
-    by_class = np.zeros(L.CLASSES)
-    for w, n in c.items():
-        by_class[cls(w)] += n * 10 ** model.known[cls(w)]
-    by_class[1:] += 10 ** model.unseen[1:]
-    has = np.array([k in {cls(w) for w in c} for k in range(L.CLASSES)])
-    assert np.allclose(by_class[has], 1, atol=1e-9)
-    assert np.allclose((10**model.step).sum(axis=1), 1)
+    # probabilities over classes, and over the known words and one unseen word of each class but the end's, add up to 1
+    for k in set(cls.values()):
+        assert sum(known(w) for w in c if cls[w] == k) + (unseen(k) if k else 0) == pytest.approx(1)
+        assert sum(step(k, b) for b in range(L.CLASSES)) == pytest.approx(1)
     held = [r for r in got if r.held_out and r.n_tokens > 5]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    # the clustering's likelihood is far above that of classes by hash
+    def grid(of):
+        g = np.zeros((L.CLASSES, L.CLASSES))
+        for t in train:
+            for a, b in zip([None, *t], t, strict=False):
+                g[of(a), of(b)] += 1
+        return g
+    hashed = grid(lambda w: 0 if w is None else 1 + zlib.crc32(w) % (L.CLASSES - 1))
+    assert L.likelihood(grid(cls.get)) > L.likelihood(hashed) + 0.1 * sum(c.values())
+
+
+def test_gains_are_differences_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    n, classes = rng.poisson(0.4, (30, 30)), 5
+    cls = np.concatenate([[0], rng.integers(1, classes, 29)])
+    cls[29] = -1  # has no class yet
+    table = lambda of: np.array([[n[np.ix_(of == a, of == b)].sum() for b in range(classes)] for a in range(classes)], float)
+    sides = lambda of: (np.stack([n[of == k].sum(axis=0) for k in range(classes)], 1), np.stack([n[:, of == k].sum(axis=1) for k in range(classes)], 1))
+    left, right = sides(cls)
+    got = L.gains(left, right, np.diag(n), cls, table(cls))
+    for w in range(1, 30):
+        put = [np.where(np.arange(30) == w, k, cls) for k in range(classes)]
+        want = [L.likelihood(table(x)) for x in put]
+        assert all(got[w, k] - got[w, 1] == pytest.approx(want[k] - want[1], abs=1e-9) for k in range(2, classes))
+    assert (got[:, 0] == -np.inf).all() and np.isfinite(got[:, 1:]).all()
 
 
 def test_exchange_finds_groups_and_never_loses_likelihood():
@@ -87,9 +129,15 @@ def test_exchange_finds_groups_and_never_loses_likelihood():
 def test_nulls_repeats_no_training_and_empty(spark):
     frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
     docs = frame([(None, "a b"), (1, "a"), (1, "a")])
-    model, counts = L.train(docs)
-    got = sorted((r.doc_id or 0, r.n_tokens, r.n_known) for r in L.score(docs, model, counts).collect())
+    parts, *learned = L.encode(docs, F.lit(True))
+    got = sorted((r.doc_id or 0, r.n_tokens, r.n_known) for r in L.score(parts, *L.fit(parts, *learned)).collect())
     assert got == [(0, 3, 3), (1, 2, 2), (1, 2, 2)]
-    nothing, counts = L.train(docs.limit(0))
-    assert {(r.n_known, r.train_tokens, r.base_score) for r in L.score(docs, nothing, counts).collect()} == {(0, 0, 0.0)}
-    assert L.score(docs.limit(0), model, counts).count() == 0
+    parts, *learned = L.encode(docs, F.lit(False))
+    assert {(r.n_known, r.train_tokens, r.base_score) for r in L.score(parts, *L.fit(parts, *learned)).collect()} == {(0, 0, 0.0)}
+    parts, *learned = L.encode(docs.limit(0), F.lit(True))
+    assert L.score(parts, *L.fit(parts, *learned)).count() == 0
+
+
+def test_packed_numbers():
+    x = np.array([0, 1, 255, 256, 1 << 17, (1 << 32) - 1])
+    assert L._unpack(L._pack(x), len(x)).tolist() == x.tolist() and L._unpack(L._pack(x[:0]), 0).tolist() == []
