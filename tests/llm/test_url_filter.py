@@ -17,11 +17,15 @@ def test_cascade_is_exact_over_its_universe(spark, n_listed, n_all):
     assert {r.key for r in got if r.hit} == listed
 
 
-def test_join_beyond_max_bits_gives_the_same(spark):
+def test_filters_of_many_arrays_are_exact_and_join_nothing(spark):
     frame = lambda x: spark.createDataFrame([(k,) for k in x], "key string")
-    c = U.build_cascade(frame(["a", "b"]), frame(["a", "b", "c"]), max_bits=1)
-    assert c.listed is not None
-    assert {r.key: r.hit for r in c.flag(frame(["a", "c", None]), F.col("key"), "hit").collect()} == {"a": True, "c": False, None: False}
+    keys = [f"host{i}.example.com" for i in range(3000)]
+    listed = set(random.Random(7).sample(keys, 400))
+    c = U.build_cascade(frame(sorted(listed)), frame(keys), segment_bits=256)
+    assert c.levels[0].segments > 10 and c.levels[0].words.count() == c.levels[0].segments and c.levels[0].bits <= 320
+    got = c.flag(frame([*keys, None]), F.col("key"), "hit")
+    assert {r.key for r in got.collect() if r.hit} == listed
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_hosts_paths_and_rules(spark):
@@ -47,3 +51,11 @@ def test_empty_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     hosts = pages.select(U.host_of(F.col("url")).alias("key"))
     assert U.judge(pages, U.build_cascade(hosts, hosts)).count() == 0
+
+
+def test_long_urls_and_repeated_rows(spark):
+    long = "http://Long.example.net/de/" + "8" * 200_000 + "?x"
+    pages = spark.createDataFrame([(1, long), (2, "http://a.com/en/"), (2, "http://a.com/en/")], "page_id long, url string")
+    hosts = pages.select(U.host_of(F.col("url")).alias("key"))
+    got = [(r.page_id, r.rule, r.verdict, len(r.path)) for r in U.judge(pages, U.build_cascade(hosts.limit(0), hosts)).orderBy("page_id").collect()]
+    assert got == [(1, "example.net/de/8", "block", 200_004), (2, "com/en/", "block", 4), (2, "com/en/", "block", 4)]

@@ -74,6 +74,7 @@ class Vocabulary:
         key = left << PAIR_BITS | right
         order = np.argsort(key, kind="stable")
         self.keys, self.ranks = key[order], order.astype(np.int64)
+        self.rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
         first = np.full(len(self.tokens), NONE)  # lowest rank of a pair that has the symbol
         for side in (left, right):
             np.minimum.at(first, side, np.arange(len(pairs)))
@@ -136,13 +137,13 @@ class Vocabulary:
         ranks = self._rank(sym[:-1], sym[1:])
         heap = [(int(ranks[i]), int(i)) for i in np.flatnonzero(ranks < NONE)]
         heapq.heapify(heap)
-        s, n = sym.tolist(), len(sym)
-        after, before, rank_at = [*range(1, n), -1], [-1, *range(n - 1)], [*ranks.tolist(), int(NONE)]
+        s, n, none = sym.tolist(), len(sym), int(NONE)
+        after, before, rank_at = [*range(1, n), -1], [-1, *range(n - 1)], [*ranks.tolist(), none]
 
         def look(i: int) -> None:
             j = after[i]
-            rank_at[i] = int(NONE) if j < 0 else int(self._rank(np.array([s[i]]), np.array([s[j]]))[0])
-            if rank_at[i] < NONE:
+            rank_at[i] = none if j < 0 else self.rank_of.get(s[i] << PAIR_BITS | s[j], none)
+            if rank_at[i] < none:
                 heapq.heappush(heap, (rank_at[i], i))
 
         while heap:

@@ -6,8 +6,14 @@ those listed keys that level 2 takes for unlisted, and so on until a level errs
 hold a key decides: an odd one says "not listed", an even one "listed". Over its universe the answer is exact, and asking
 costs some hashes and array reads, with no join and no shuffle of the rows.
 
-Filters are arrays of 64-bit words made by bit_or aggregates and reach the tasks as scalar subqueries. Their bits are counted
-before they are built; a list beyond ``max_bits`` is asked by a semi-join instead, with the same answers.
+Filters are arrays of 64-bit words made by bit_or aggregates, and reach the tasks as scalar subqueries. A level of over ``segment_bits``
+bits is dealt by key hash to as many arrays as it needs, so no task gathers more than one array of that size; asking takes the
+one array of the key. A task holds all arrays: some nine bits for each listed key, 1.1 GB for a billion of them.
+
+Cases: null URLs and URLs without ``://`` have an empty host and path, and are allowed unless '' is listed; very long URLs are
+read whole; rules of equal length go in alphabetical order; repeated rows are judged each, and repeated or null keys of the lists
+don't matter; other columns stay, but for those named host, path, rule and verdict, which are replaced; an empty table gives an
+empty table, an empty list allows all.
 """
 
 from __future__ import annotations
@@ -67,32 +73,44 @@ def rule_for(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> tup
 
 @dataclass(frozen=True)
 class Level:
-    bits: int
+    bits: int  # of each segment
     hashes: int
-    words: DataFrame  # one row, one array<bigint>
+    segments: int
+    words: DataFrame  # segment, words array<bigint>
 
 
 def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
     return [F.pmod(F.xxhash64(F.lit(level), F.lit(i), key), F.lit(bits)) for i in range(hashes)]
 
 
-def _build(keys: DataFrame, level: int, n: int, rate: float) -> Level:
+def _segment(key: Column, level: int, segments: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-level), key), F.lit(segments))
+
+
+def _build(keys: DataFrame, level: int, n: int, rate: float, segment_bits: int) -> Level:
     """A Bloom filter of the one column of ``keys``, sized for n keys at this rate of false positives."""
-    bits = max(64, 64 * math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64))
-    hashes = max(1, round(bits / max(n, 1) * math.log(2))) if n else 1
+    all_bits = max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2))
+    segments = math.ceil(all_bits / segment_bits)
+    bits = 64 * math.ceil(all_bits / segments / 64)
+    hashes = max(1, round(bits * segments / max(n, 1) * math.log(2))) if n else 1
     hashes = min(hashes, 16)
-    key = F.col(keys.columns[0])
-    at = keys.select(F.explode(F.array(*_positions(key, level, bits, hashes))).alias("p"))
-    held = at.select((F.col("p") / 64).cast("bigint").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b"))
-    blank = keys.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b"))
+    key, each = F.col(keys.columns[0]), bits // 64
+    at = keys.select(_segment(key, level, segments).alias("s"), F.explode(F.array(*_positions(key, level, bits, hashes))).alias("p"))
+    held = at.select((F.col("s") * each + (F.col("p") / 64).cast("bigint")).alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b"))
+    blank = keys.sparkSession.range(segments * each).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b"))
     rows = held.unionByName(blank).groupBy("w").agg(F.bit_or("b").alias("b"))
-    return Level(bits, hashes, cut(rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("words"))))
+    arrays = rows.groupBy((F.col("w") / each).cast("bigint").alias("segment")).agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("words"))
+    return Level(bits, hashes, segments, cut(arrays))
 
 
 def _holds(level: Level, number: int, key: Column) -> Column:
-    words, out = level.words.scalar(), F.lit(True)
-    for p in _positions(key, number, level.bits, level.hashes):
-        out = out & (F.getbit(F.get(words, (p / 64).cast("int")), (p % 64).cast("int")) == 1)
+    positions = _positions(key, number, level.bits, level.hashes)
+    out = F.lit(False)
+    for segment in range(level.segments):
+        words, there = level.words.where(F.col("segment") == segment).select("words").scalar(), F.lit(True)
+        for p in positions:
+            there = there & (F.getbit(F.get(words, (p / 64).cast("int")), (p % 64).cast("int")) == 1)
+        out = there if level.segments == 1 else F.when(_segment(key, number, level.segments) == segment, there).otherwise(out)
     return out
 
 
@@ -101,20 +119,16 @@ class Cascade:
     """Exact membership over the universe that it was built for."""
 
     levels: list[Level] = field(default_factory=list)
-    listed: DataFrame | None = None  # instead of levels, beyond max_bits
 
     def flag(self, df: DataFrame, key: Column, name: str) -> DataFrame:
         """df with the boolean column ``name``: whether the key is listed. A null key is not."""
-        if self.listed is not None:
-            side = self.listed.select(F.col("key").alias("__listed_key"))
-            return df.join(side, key == F.col("__listed_key"), "left").withColumn(name, F.col("__listed_key").isNotNull()).drop("__listed_key")
         verdict = F.lit(len(self.levels) % 2 == 1)
         for number in range(len(self.levels), 0, -1):
             verdict = F.when(_holds(self.levels[number - 1], number, key), verdict).otherwise(F.lit(number % 2 == 0))
         return df.withColumn(name, F.coalesce(key.isNotNull() & verdict, F.lit(False)))
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, first_rate: float = 0.02, rate: float = 0.3, max_bits: int = 1 << 28) -> Cascade:
+def build_cascade(listed: DataFrame, universe: DataFrame, first_rate: float = 0.02, rate: float = 0.3, segment_bits: int = 1 << 26) -> Cascade:
     """Cascade over the first columns of both tables, as strings. Nulls and repeated keys don't matter; empty tables may be.
 
     The levels shrink geometrically, so the loop below runs some ten times whatever the size; each turn is one aggregate
@@ -125,10 +139,8 @@ def build_cascade(listed: DataFrame, universe: DataFrame, first_rate: float = 0.
     keys = cut(both.groupBy("key").agg(F.max("listed").alias("listed")))
     inside, outside = keys.where("listed").select("key"), keys.where("not listed").select("key")
     n, levels = inside.count(), []
-    if n * -math.log(first_rate) / math.log(2) ** 2 > max_bits:
-        return Cascade(listed=inside)
     while n:
-        level = _build(inside, len(levels) + 1, n, first_rate if not levels else rate)
+        level = _build(inside, len(levels) + 1, n, first_rate if not levels else rate, segment_bits)
         levels.append(level)
         wrong = cut(outside.where(_holds(level, len(levels), F.col("key"))))
         inside, outside, n = wrong, inside, wrong.count()
