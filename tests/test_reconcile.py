@@ -179,3 +179,28 @@ def test_gone_keys_leave_the_state_and_sizes(spark):
     raw = R.incremental(state, s, t, none)
     assert sorted(r.pk for r in R.gone(raw).collect()) == [2, 3, 99]
     assert [r.pk for r in R.without_gone(raw).collect()] == [1]
+
+
+def test_repeated_source_keys_give_the_same_in_both_engines(spark):
+    e, s, t, c = frames(spark, [(1, 10, 5), (1, 3, 90), (2, 7, None), (2, 7, 8), (3, None, 4)], [(1, 10), (1, 3), (2, 7)], [(1, 5), (2, 8), (4, 6)], [(1, 10, 5)])
+    rows = lambda df: sorted(map(str, df.collect()))
+    first = {g: R.initial_load(e, t, g) for g in ENGINES}
+    assert rows(first["union"]) == rows(first["joins"])
+    pairs = {r.pk: (r.source_signature, r.incremental_target_signature) for r in first["union"].collect()}
+    assert pairs[1] == (10, 5) and pairs[2] == (7, 8)  # a pair that one row has
+    assert rows(R.incremental(first["union"], s, t, c, "union")) == rows(R.incremental(first["union"], s, t, c, "joins"))
+    assert {(r.pk, r.n) for r in R.duplicate_source_rows(e).collect()} == {(1, 2), (2, 2)}
+    with pytest.raises(ValueError, match="no such engine"):
+        R.initial_load(e, t, "other")
+
+
+def test_a_failing_initial_load_keeps_the_old_state(spark, tmp_path):
+    e, _, t, _ = frames(spark, EXTRACT, [], TARGET)
+    store = StateStore(spark, str(tmp_path / "state"))
+    cycle.run_cycle(store, cycle.DataSet(target_scan=t, source_extract=e), True)
+    broken = e.selectExpr("pk", "raise_error('no more') + source_hash AS source_hash", "target_hash")
+    with pytest.raises(Exception, match="no more"):
+        cycle.run_cycle(store, cycle.DataSet(target_scan=t, source_extract=broken), True)
+    assert store.current() == 0 and store.read().count() == 3
+    out = cycle.run_cycle(store, cycle.DataSet(target_scan=t.limit(2), source_extract=e.limit(2)), True)
+    assert store.versions() == [out.version] and store.first() == out.version and store.read().count() == 2

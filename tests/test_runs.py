@@ -1,17 +1,21 @@
 """Scans, change records, streams, drill-down and the command line."""
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import cli
 from tidemark.functions import mappers
+from tidemark.functions.hashing import pg_hash, row_signature, xxh3
+from tidemark.functions.mappers import mapper
 from tidemark.operators import changes, diagnose, reconcile, scans
 from tidemark.plans.cycle import DataSet, run_cycle
+from tidemark.plans.observe import Observer, source_hash, target_hash
 from tidemark.plans.state import StateStore
 from tidemark.sources import sinks, tables
-from tidemark.sources.spec import ColumnMapping, TableSpec, database_of, parse_config, quote, schema_and_table
+from tidemark.sources.spec import ColumnMapping, TableSpec, database_of, jdbc_options, parse_config, quote, schema_and_table
 from tidemark.streaming import change_stream
 
 SPEC = TableSpec("shop.items", "id", (ColumnMapping("id", "integer", "Int64"), ColumnMapping("name", "text", "String"), ColumnMapping("old", "text", ""), ColumnMapping("new", "", "String")))
@@ -192,3 +196,44 @@ def test_run_cycle_keeps_going_after_a_broken_initial_load(spark, tmp_path):
     target = items(spark).withColumn("new", F.lit("n"))
     data = DataSet(target_scan=scans.target_scan(target, SPEC), source_extract=scans.extract_scan(items(spark), SPEC, mappers.mapper("generic")))
     assert run_cycle(store, data, initial=True).version == 0
+
+
+def test_connection_strings():
+    assert jdbc_options("postgres://u%40x:p%2Fw@h:5433/db?sslmode=require") == {"url": "jdbc:postgresql://h:5433/db?sslmode=require", "user": "u@x", "password": "p/w"}
+    assert jdbc_options("mysql://root@h/shop") == {"url": "jdbc:mysql://h/shop", "user": "root"}
+    assert jdbc_options("clickhouse://h") == {"url": "jdbc:clickhouse://h/"} and jdbc_options("jdbc:mysql://h/d") == {"url": "jdbc:mysql://h/d"}
+
+
+def test_databases_hash_their_own_rows(spark):
+    """A reader that records what it is asked for stands in for the databases."""
+    asked = []
+
+    def load(session, options):
+        asked.append(options)
+        sql = options.get("query") or options["dbtable"]
+        if "min(" in sql:
+            return session.createDataFrame([(5, 900)], "low bigint, high bigint")
+        side = "target" if "target_hash" in sql else "source"
+        if f"{side}_hash" in sql:
+            return session.createDataFrame([(1, "7")], f"pk int, {side}_hash string")
+        return session.createDataFrame([(1, "x", 1.5, 0)], "id int, name string, price double, _peerdb_is_deleted int")
+
+    spec = TableSpec("shop.items", "id", (ColumnMapping("id", "integer", "Int64"), ColumnMapping("name", "text", "String"), ColumnMapping("price", "", "Float64")), "copy")
+    pg, ch = tables.Database("postgres://u:p@h/d", partitions=4, load=load), tables.Database("clickhouse://h/d", load=load)
+    seen = Observer(spark, spec, pg, ch, mapper("generic"), deleted="gone")
+    data = seen.data(False, spark.createDataFrame([], tables.EXTRACT))
+    assert data.source_scan.dtypes == [("pk", "bigint"), ("source_hash", "bigint")] and data.target_scan.dtypes == [("pk", "bigint"), ("target_hash", "decimal(20,0)")]
+    ranged = next(o for o in asked if "hashtextextended" in o.get("dbtable", ""))
+    assert (ranged["partitionColumn"], ranged["lowerBound"], ranged["upperBound"], ranged["numPartitions"]) == ("pk", "5", "901", "4")
+    pushed = next(o["query"] for o in asked if "xxh3" in o.get("query", ""))
+    assert ranged["user"] == "u" and "`copy` FINAL WHERE `gone` = 0" in pushed
+    # the extract is hashed here as the databases do it
+    assert (source_hash(pg), target_hash(ch), source_hash(tables.Files("/x")), target_hash(tables.Files("/x"))) == (pg_hash, xxh3, row_signature, scans.unsigned_signature)
+    assert seen.extract().first().asDict().keys() == {"pk", "source_hash", "target_hash"}
+    # rows of either side are those of its own table and columns
+    ch.rows(spark, spec, side="target", version="v", deleted="gone")
+    assert asked[-1]["query"] == "SELECT `id`, `name`, `price`, `v`, `gone` FROM `copy`"
+    my = tables.Database("mysql://h/d", load=load)
+    assert my.rows(spark, spec).count() == 1 and asked[-1]["query"] == "SELECT `id`, `name` FROM `shop`.`items`"
+    shown = replace(seen, target=pg).inspect([1, 2])
+    assert set(shown) == {"source", "extract", "target"} and any("IN (1, 2)" in o.get("query", "") for o in asked)

@@ -5,16 +5,18 @@ from __future__ import annotations
 import argparse
 import sys
 import time
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.mappers import RowMapper, mapper
-from tidemark.operators import diagnose, reconcile, scans
+from tidemark.functions.mappers import mapper
+from tidemark.operators import diagnose, reconcile
 from tidemark.plans import cycle
+from tidemark.plans.observe import Observer, source_hash, target_hash
 from tidemark.plans.state import StateStore
 from tidemark.sources import sinks, tables
-from tidemark.sources.spec import Config, TableSpec, load_config
+from tidemark.sources.spec import Config, load_config
 from tidemark.streaming import change_stream
 
 
@@ -51,9 +53,8 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _tables(spark: SparkSession, config: Config) -> tuple[DataFrame, DataFrame, TableSpec, RowMapper]:
-    spec = config.table
-    return tables.open_table(config.source).rows(spark, spec), tables.open_table(config.target).rows(spark, spec), spec, mapper(config.mapper)
+def _observer(spark: SparkSession, config: Config, args: argparse.Namespace) -> Observer:
+    return Observer(spark, config.table, tables.open_table(config.source), tables.open_table(config.target), mapper(config.mapper), args.version_column, args.deleted_column)
 
 
 def _report(store: StateStore, outcome: cycle.Outcome, errors: str) -> None:
@@ -64,13 +65,14 @@ def _report(store: StateStore, outcome: cycle.Outcome, errors: str) -> None:
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     config = load_config(args.config)
-    source, target, spec, how = _tables(spark, config)
+    seen = _observer(spark, config, args)
+    spec, how = seen.spec, seen.mapper
     state = config.state_path or f"{spec.table}.state"
     changes = None
     if not args.initial_load:
         log_schema = "lsn bigint, op string, " + ", ".join(f"`{c}` string" for c in dict.fromkeys([spec.pk, *spec.source_columns]))
-        changes = change_stream.consume(change_stream.read_log(spark, args.change_log, log_schema), spec, how, f"{state}.changes", f"{state}.offsets") if args.change_log else spark.createDataFrame([], tables.EXTRACT)
-    data = cycle.fetch(source, target, spec, how, args.initial_load, changes, args.version_column, args.deleted_column)
+        changes = change_stream.consume(change_stream.read_log(spark, args.change_log, log_schema), spec, how, f"{state}.changes", f"{state}.offsets", hash_=source_hash(seen.source), target_hash=target_hash(seen.target)) if args.change_log else spark.createDataFrame([], tables.EXTRACT)
+    data = seen.data(args.initial_load, changes)
     if args.command == "fetch" or getattr(args, "fetch_only", False):
         for name in ("target_scan", "source_scan", "source_changes", "source_extract"):
             if (df := getattr(data, name)) is not None:
@@ -94,35 +96,25 @@ def shadow(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def benchmark(spark: SparkSession, args: argparse.Namespace) -> None:
     config = load_config(args.config)
-    source, target, spec, how = _tables(spark, config)
-    if args.scan == "target-scan":
-        scan, side, table = scans.target_scan(target, spec, version=args.version_column, deleted=args.deleted_column), "target", target
-    elif args.scan == "source-scan":
-        scan, side, table = scans.source_scan(source, spec), "source", source
-    else:
-        scan, side, table = scans.extract_scan(source, spec, how), "source", source
+    seen = _observer(spark, config, args)
+    scan, side = {"target-scan": (seen.target_scan, "target"), "source-scan": (seen.source_scan, "source"), "source-extract-scan": (seen.extract, "source")}[args.scan]
     began = time.time()
-    rows, out = sinks.scan_stats(scan, side).first()
-    print({k: round(v, 2) for k, v in sinks.throughput(rows, time.time() - began, tables.bytes_of(table), out).items()} | {"rows": rows})
+    rows, out = sinks.scan_stats(scan(), side).first()
+    print({k: round(v, 2) for k, v in sinks.throughput(rows, time.time() - began, seen.bytes(side), out).items()} | {"rows": rows})
 
 
 def inspect(spark: SparkSession, args: argparse.Namespace) -> None:
     config = load_config(args.config)
-    source, target, spec, how = _tables(spark, config)
     pks = [int(k) for k in args.pks.split(",") if k.strip()]
+    seen = _observer(spark, config, args)
     if args.cols:
-        spec = spec.narrowed([c.strip() for c in args.cols.split(",")])
-    extract = scans.inspect_extract(source, spec, pks, how)
-    shown = {
-        "source": scans.inspect_source(source, spec, pks),
-        "extract": extract,
-        "target": scans.inspect_target(target, spec, pks, version=args.version_column, deleted=args.deleted_column),
-    }
+        seen = replace(seen, spec=seen.spec.narrowed([c.strip() for c in args.cols.split(",")]))
+    shown = seen.inspect(pks)
     for name, df in shown.items():
         print(f"--- {name} ---")
         df.orderBy("pk").show(len(pks), truncate=False, vertical=True)
     print("--- target against extract ---")
-    diagnose.inspect_diff(shown["target"], extract, diffs=True).where(F.col("verdict") != "equal").orderBy("pk", "field").show(3 * len(pks), truncate=False, vertical=True)
+    diagnose.inspect_diff(shown["target"], shown["extract"], diffs=True).where(F.col("verdict") != "equal").orderBy("pk", "field").show(3 * len(pks), truncate=False, vertical=True)
 
 
 COMMANDS = {"run": run, "fetch": run, "shadow": shadow, "benchmark": benchmark, "inspect": inspect}

@@ -130,8 +130,12 @@ class FamilyMapper:
 
     def source_text(self, cols: Sequence[Column]) -> Column:
         _same_length(cols, self.source)
+        return self.rendered(cols, self.source)
+
+    def rendered(self, cols: Sequence[Column], families: Sequence[str | None]) -> Column:
+        """Columns as a columnar destination prints them, from either side's rows."""
         rules: dict[str, Callable[[Column], Column]] = {"float": float_text, "decimal": decimal_text, "datetime": datetime_text, "json": self._json}
-        return row_text([rules.get(f, lambda c: c)(c.cast("string")) for f, c in zip(self.source, cols, strict=True)], null=MAPPER_NULL)
+        return row_text([rules.get(f, lambda c: c)(c.cast("string")) for f, c in zip(families, cols, strict=True)], null=MAPPER_NULL)
 
     def target_text(self, cols: Sequence[Column]) -> Column:
         _same_length(cols, self.target)

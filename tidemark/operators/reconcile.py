@@ -6,8 +6,9 @@ the next state.
 
 Two plans give the same rows. ``joins`` is the definition: full outer joins of four relations, one shuffle for each side of each
 join. ``union``, the default, tags the four relations, puts them under each other and aggregates by key once: a single shuffle
-with partial aggregates before it, into which the count of duplicate target rows goes as well. It relies on keys being unique
-in source, state and change map; ``newest_changes`` sees to the latter.
+with partial aggregates before it, into which the count of duplicate target rows goes as well. Keys are unique in the state
+and in the change map, where ``newest_changes`` sees to it. Of a key that the source has more than once both plans take one row, the one
+with the greatest signatures, never signatures of different rows; ``duplicate_source_rows`` shows such keys.
 """
 
 from __future__ import annotations
@@ -46,6 +47,16 @@ def count_duplicates(target: DataFrame) -> DataFrame:
     return target.groupBy("pk").agg(F.min("target_hash").cast(UNSIGNED).alias("target_signature"), F.count(F.lit(1)).alias("target_count"))
 
 
+def duplicate_source_rows(source: DataFrame) -> DataFrame:
+    """pk and n of keys that a source scan or extract has more than once."""
+    return source.groupBy("pk").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def _check(engine: str) -> None:
+    if engine not in ("union", "joins"):
+        raise ValueError(f"no such engine: {engine}")
+
+
 def _fit(df: DataFrame, filled: dict[str, Column], shape: dict[str, str]) -> DataFrame:
     return df.select("pk", *[(filled[c] if c in filled else F.lit(None)).cast(kind).alias(c) for c, kind in shape.items()])
 
@@ -57,13 +68,15 @@ def initial_load(extract: DataFrame | None, target: DataFrame | None, engine: st
     from one whose insert it hasn't seen; compare the sizes.
     """
     _need(extract=extract, target=target)
+    _check(engine)
     if engine == "joins":
-        e = extract.select("pk", F.col("source_hash").alias("ss"), F.col("target_hash").alias("et"))
+        e = extract.groupBy("pk").agg(F.max(F.struct(F.col("source_hash").alias("ss"), F.col("target_hash").alias("et"))).alias("row")).select("pk", "row.*")
         both = e.join(count_duplicates(target).withColumnRenamed("target_signature", "ts").withColumnRenamed("target_count", "tc"), "pk", "full")
     else:
         shape = {"ss": "bigint", "et": "decimal(20,0)", "ts": "decimal(20,0)", "tc": "bigint"}
         tagged = _fit(extract, {"ss": F.col("source_hash"), "et": F.col("target_hash")}, shape).unionByName(_fit(target, {"ts": F.col("target_hash"), "tc": F.lit(1)}, shape))
-        both = tagged.groupBy("pk").agg(F.max("ss").alias("ss"), F.max("et").alias("et"), F.min("ts").alias("ts"), F.sum("tc").alias("tc"))
+        row = F.max(F.when(F.col("tc").isNull(), F.struct("ss", "et")))  # of one row, not of several
+        both = tagged.groupBy("pk").agg(row.alias("row"), F.min("ts").alias("ts"), F.sum("tc").alias("tc")).select("pk", "row.ss", "row.et", "ts", "tc")
     return _as_state(
         both.select(
             "pk",
@@ -83,7 +96,7 @@ _OLD = {"ps": "source_signature", "pt": "target_signature", "pis": "incremental_
 
 
 def _aligned_by_joins(state: DataFrame, source: DataFrame, target: DataFrame, changes: DataFrame) -> DataFrame:
-    s = source.select("pk", F.col("source_hash").alias("ss"))
+    s = source.groupBy("pk").agg(F.max("source_hash").alias("ss"))
     p = state.select("pk", *[F.col(v).alias(k) for k, v in _OLD.items()])
     t = count_duplicates(target).select("pk", F.col("target_signature").alias("ts"), F.col("target_count").alias("tc"))
     c = changes.select("pk", F.col("source_hash").alias("si"), F.col("target_hash").alias("ti"))
@@ -106,8 +119,7 @@ def _aligned_by_union(state: DataFrame, source: DataFrame, target: DataFrame, ch
 def incremental(state: DataFrame | None, source: DataFrame | None, target: DataFrame | None, changes: DataFrame | None, engine: str = "union") -> DataFrame:
     """The next state. source: pk, source_hash; target: pk, target_hash; changes: pk, source_hash, target_hash."""
     _need(state=state, source=source, target=target, changes=changes)
-    if engine not in ("union", "joins"):
-        raise ValueError(f"no such engine: {engine}")
+    _check(engine)
     both = (_aligned_by_union if engine == "union" else _aligned_by_joins)(state, source, target, changes)
     both = both.withColumns(
         {

@@ -59,6 +59,17 @@ def _texts(spec: TableSpec, mapper: RowMapper | None, separator: str) -> tuple[C
     return row_text(cols, separator), mapper.source_text(cols)
 
 
+def _target_text(spec: TableSpec, mapper: RowMapper | None, separator: str) -> Column:
+    """A destination row's text: its columns as they are (databases hash this), or rendered by the mapper where the rows are read here
+    and no database has printed them."""
+    cols = [F.col(c) for c in spec.target_columns]
+    if mapper is None:
+        return row_text(cols, separator)
+    mapper.set_schema(spec.families("source"), spec.families("target"))
+    rendered = getattr(mapper, "rendered", None)
+    return rendered(cols, spec.target_families()) if rendered else mapper.target_text(cols)
+
+
 def source_scan(df: DataFrame, spec: TableSpec, hash_: Hash = row_signature, separator: str = "") -> DataFrame:
     """pk, source_hash."""
     text, _ = _texts(spec, None, separator)
@@ -72,11 +83,11 @@ def extract_scan(df: DataFrame, spec: TableSpec, mapper: RowMapper, hash_: Hash
     return staged.select("pk", hash_(F.col("__s")).alias("source_hash"), target_hash(F.col("__t")).alias("target_hash"))
 
 
-def target_scan(df: DataFrame, spec: TableSpec, hash_: Hash = unsigned_signature, version: str | None = None, deleted: str | None = None, separator: str = "") -> DataFrame:
+def target_scan(df: DataFrame, spec: TableSpec, hash_: Hash = unsigned_signature, version: str | None = None, deleted: str | None = None, separator: str = "", mapper: RowMapper | None = None) -> DataFrame:
     """pk, target_hash (unsigned)."""
     needed = dict.fromkeys([spec.pk, *([version] if version else []), *spec.target_columns, *([deleted] if deleted else [])])
     df = final(df.select(*needed), spec.pk, version, deleted)
-    return df.select(F.col(spec.pk).cast("bigint").alias("pk"), hash_(row_text(spec.target_columns, separator)).alias("target_hash"))
+    return df.select(F.col(spec.pk).cast("bigint").alias("pk"), hash_(_target_text(spec, mapper, separator)).alias("target_hash"))
 
 
 def inspect_source(df: DataFrame, spec: TableSpec, pks: Sequence[int] | DataFrame, hash_: Hash = row_signature, separator: str = "") -> DataFrame:
@@ -93,10 +104,10 @@ def inspect_extract(df: DataFrame, spec: TableSpec, pks: Sequence[int] | DataFra
     return staged.select("pk", hash_(F.col("__s")).alias("source_hash"), target_hash(F.col("__t")).alias("target_hash"), visible("__s").alias("source_text"), visible("__t").alias("target_text"))
 
 
-def inspect_target(df: DataFrame, spec: TableSpec, pks: Sequence[int] | DataFrame, hash_: Hash = unsigned_signature, version: str | None = None, deleted: str | None = None, separator: str = "") -> DataFrame:
+def inspect_target(df: DataFrame, spec: TableSpec, pks: Sequence[int] | DataFrame, hash_: Hash = unsigned_signature, version: str | None = None, deleted: str | None = None, separator: str = "", mapper: RowMapper | None = None) -> DataFrame:
     """pk, target_hash, target_text of some rows."""
     df = final(with_keys(df, spec.pk, pks), spec.pk, version, deleted)
-    staged = df.select(F.col(spec.pk).cast("bigint").alias("pk"), row_text(spec.target_columns, separator).alias("__t"))
+    staged = df.select(F.col(spec.pk).cast("bigint").alias("pk"), _target_text(spec, mapper, separator).alias("__t"))
     return staged.select("pk", hash_(F.col("__t")).alias("target_hash"), visible("__t").alias("target_text"))
 
 

@@ -33,8 +33,9 @@ class DataSet:
 
 
 def fetch(source: DataFrame, target: DataFrame, spec: TableSpec, mapper: RowMapper, initial: bool, changes: DataFrame | None = None, version: str | None = None, deleted: str | None = None) -> DataSet:
-    """The scans of a cycle, as plans: nothing is read before they are used, and then both sides are read in one job."""
-    target_scan = scans.target_scan(target, spec, version=version, deleted=deleted)
+    """The scans of a cycle over rows that are read here, as plans: nothing is read before they are used, and then both sides are read
+    in one job. The mapper renders both sides, so an unchanged copy has the hashes that the extract foretells."""
+    target_scan = scans.target_scan(target, spec, version=version, deleted=deleted, mapper=mapper)
     if initial:
         return DataSet(target_scan=target_scan, source_extract=scans.extract_scan(source, spec, mapper))
     return DataSet(target_scan=target_scan, source_scan=scans.source_scan(source, spec), source_changes=changes)
@@ -55,14 +56,14 @@ class Outcome:
 
 
 def run_cycle(store: StateStore, data: DataSet, initial: bool = False, version: int | None = None, engine: str = "union") -> Outcome:
-    """Write the next state and count its rows. An initial load starts over: an older state goes. A version that is there
-    already is not made again, so a cycle can be repeated after a failure."""
+    """Write the next state and count its rows. An initial load starts over: older versions go, but only when the new one is there.
+    A version that is there already is not made again, so a cycle can be repeated after a failure."""
     began = time.time()
-    if initial and version is None:
-        store.clear()
     have = store.versions()
     if version is None or version not in have:
         version = store.write(next_state(data, None if initial else store.read(), initial, engine), version)
+    if initial:
+        store.start_from(version)
     counts = reconcile.metrics(store.read(version)).first().asDict()
     return Outcome(version, counts, time.time() - began)
 

@@ -50,5 +50,14 @@ class StateStore:
             self._fs.delete(self._path(f"v{old:012d}"), True)
         return version
 
-    def clear(self) -> None:
-        self._fs.delete(self._path(""), True)
+    def start_from(self, version: int) -> None:
+        """Make a version the first: its number is kept, and older versions go."""
+        self._fs.mkdirs(self._path(f"first/{version:012d}"))
+        for old in self.versions():
+            if old < version:
+                self._fs.delete(self._path(f"v{old:012d}"), True)
+
+    def first(self) -> int:
+        """The version of the last initial load, 0 where none was made."""
+        path = self._path("first")
+        return max((int(s.getPath().getName()) for s in self._fs.listStatus(path)), default=0) if self._fs.exists(path) else 0

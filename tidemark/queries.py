@@ -365,6 +365,27 @@ def generic_mapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pk"), m.source_text([F.col(c) for c in ORDERS.source_columns]).alias("text"))
 
 
+COPIES = TableSpec("copies", "id", (ColumnMapping("id", "bigint", "Int64"), ColumnMapping("price", "numeric(12,2)", "Decimal"), ColumnMapping("ratio", "double precision", "Float64"), ColumnMapping("props", "jsonb", "String")))
+
+
+@query(
+    """WITH t AS (SELECT count(*) AS n, count(*) FILTER (event_id % 997 = 0) AS gone, count(*) FILTER (event_id % 1000 = 7 AND event_id % 7 <> 0 AND event_id % 997 <> 0) AS other FROM events)
+SELECT n AS source_size, n - gone AS target_size, n AS total_size, n - gone - other AS valid_count, gone + other AS pending_count, 0::BIGINT AS error_count FROM t"""
+)
+def family_mapper_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy in files, read here: decimals that end in zeros, nulls, NaN, infinity and JSON are valid, rows that are changed or gone are found."""
+    from tidemark.plans import cycle
+
+    i = F.col("event_id")
+    ratio = F.when(i % 5 == 0, F.lit("NaN").cast("double")).when(i % 5 == 1, F.lit("-Infinity").cast("double")).otherwise(F.col("value") / 3)
+    price = F.when(i % 7 != 0, F.round("value").cast("decimal(12,2)"))
+    source = _table(spark, sf_dir, "events").select(i.alias("id"), price.alias("price"), ratio.alias("ratio"), "props")
+    changed = F.when(F.col("id") % 1000 == 7, F.col("price") + 1).otherwise(F.col("price")).cast("decimal(12,2)")
+    target = source.where("id % 997 <> 0").withColumn("price", changed)
+    data = cycle.fetch(source, target, COPIES, mappers.mapper("family"), True)
+    return reconcile.metrics(cycle.next_state(data, None, True))
+
+
 @query("SELECT event_id AS pk, CASE event_id % 5 WHEN 0 THEN 'inf' WHEN 1 THEN '-inf' WHEN 2 THEN 'nan' ELSE (event_id % 90 + 10)::VARCHAR || CASE event_id % 2 WHEN 0 THEN 'e38' ELSE 'e-7' END END AS text FROM events")
 def family_mapper_float(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
@@ -552,7 +573,11 @@ def _stream(spark: SparkSession, sf_dir: str, batches: int = 3) -> tuple[str, Da
     from tidemark.streaming import change_stream
 
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")
+    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-stream-")
     folder = f"{root}/tidemark-stream-{uuid.uuid4()}"
     log = event_log(spark, sf_dir)
     for k in range(batches):
@@ -656,3 +681,60 @@ def inspect_scan_vs_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drifted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = diagnose.classify_errors(_not_valid(spark, sf_dir)).where("error_class = 'drifted'").select("pk")
     return diagnose.rows_of(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", keys)
+
+
+# ---- SQL functions, type families, hash vectors -------------------------------------------------------------------
+
+
+@query(f"{_state_sql(1)} SELECT pk, {_STATE_STATUS} AS status FROM state1")
+def sql_functions_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state machine by its SQL functions."""
+    sm.register(spark)
+    verified = "verify_row_integrity_int(incremental_source_signature, CAST(incremental_target_signature AS BIGINT), source_signature, CAST(target_signature AS BIGINT))"
+    return states(spark, sf_dir, 1).selectExpr("pk", f"CAST(validation_status(validation_error, source_operation, target_operation, {verified}, target_count) AS BIGINT) AS status")
+
+
+@query(f"SELECT o_orderkey AS pk, {_sig(_TEXT)} AS source_hash, {_usig_sql(_TEXT)} AS target_hash, {_TEXT} AS source_text, {_TEXT} AS target_text FROM orders WHERE o_orderkey % 100 = 1")
+def inspect_extract_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders")
+    return scans.inspect_extract(orders, ORDERS, orders.where("o_orderkey % 100 = 1").select("o_orderkey"), mappers.mapper("generic"), SIG, _usig)
+
+
+@query("SELECT o_orderkey AS pk, o_orderkey::VARCHAR || o_orderstatus AS source_text FROM orders WHERE o_orderkey % 50 = 1")
+def inspect_some_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders")
+    shown = scans.inspect_source(orders, ORDERS.narrowed(["o_orderstatus"]), orders.where("o_orderkey % 50 = 1").select("o_orderkey"))
+    return shown.select("pk", "source_text")
+
+
+@query(f"{_state_sql(1)} SELECT pk, count(*) AS n FROM (SELECT pk FROM s1 UNION ALL SELECT pk FROM s1 WHERE pk % 3 = 0) GROUP BY pk HAVING count(*) > 1")
+def duplicate_source_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = source_at(spark, sf_dir, 1)
+    return reconcile.duplicate_source_rows(source.unionByName(source.where("pk % 3 = 0")))
+
+
+@query("SELECT event_id AS pk, 'wrote /tmp/part-' || event_id || '.csv' AS line, '/tmp/part-' || event_id || '.csv|' || event_type || '.parquet' AS files FROM events")
+def files_named_in_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("/tmp/part-"), F.col("event_id"), F.lit(".csv"))
+    line = F.concat(F.lit('level=info file="'), name, F.lit('" also '), F.col("event_type"), F.lit(".parquet; not "), F.col("event_type"), F.lit(".txt"))
+    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("pk"), F.concat(F.lit("wrote "), name).alias("line"), F.array_join(diagnose.files_named_in(line), "|").alias("files"))
+
+
+# Published results of both hashes.
+PG_VECTORS = (("a", 42, 6942402718208252407), ("a", 0, 3591986179850072241), ("abcdef", 0, 290958262752763840), ("-32768-922337203685477580800", 0, -8057992206014907360), ("-32768-922337203685477580800", 73, -7881728486066286847), ("-32768-922337203685477580800", 1337, -5664590189151205022), ("👻👻👻👻", 1337, -1361447163658550079))
+XXH3_VECTORS = (("a", 16629034431890738719), ("", 3244421341483603138), ("0000", 14525862213172519373))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {seed}::BIGINT, {h}::BIGINT)" for t, seed, h in PG_VECTORS) + ") v(text, seed, hash)")
+def hashtextextended_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(t, s) for t, s, _ in PG_VECTORS], "text string, seed bigint")
+    made = None
+    for seed in dict.fromkeys(s for _, s, _ in PG_VECTORS):
+        one = rows.where(F.col("seed") == seed).select("text", "seed", hashing.pg_hash(F.col("text"), seed).alias("hash"))
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {h}::DECIMAL(20,0))" for t, h in XXH3_VECTORS) + ") v(text, hash)")
+def xxh3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(t,) for t, _ in XXH3_VECTORS], "text string").select("text", hashing.xxh3(F.col("text")).alias("hash"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass, field
-from urllib.parse import urlsplit
+from urllib.parse import unquote, urlsplit
 
 from tidemark.functions.families import REGISTRY, Registry, spark_type
 
@@ -45,6 +45,10 @@ class TableSpec:
             return [registry.family(self.source_database, c.source_type) for c in self.columns if c.source_type]
         return [registry.family(self.target_database, c.target_type) for c in self.columns if c.source_type]
 
+    def target_families(self, registry: Registry = REGISTRY) -> list[str | None]:
+        """Families that the destination's columns are rendered by: those of the source, where it has the column."""
+        return [registry.family(self.source_database, c.source_type) if c.source_type else registry.family(self.target_database, c.target_type) for c in self.columns if c.target_type]
+
     def narrowed(self, names: list[str]) -> TableSpec:
         """The same table with some of its columns; the key's column stays in any case."""
         if unknown := set(names) - {c.name for c in self.columns}:
@@ -89,6 +93,21 @@ def database_of(url: str) -> str:
     return _DATABASES.get(scheme, "files")
 
 
+def jdbc_options(url: str) -> dict[str, str]:
+    """What a JDBC reader needs from a connection string: its own kind of URL, and user and password apart. URLs that say jdbc: stay."""
+    if url.startswith("jdbc:"):
+        return {"url": url}
+    parts = urlsplit(url)
+    scheme = {"postgres": "postgresql"}.get(kind := _DATABASES[parts.scheme.lower()], kind)
+    host, port = parts.hostname or "localhost", f":{parts.port}" if parts.port else ""
+    out = {"url": f"jdbc:{scheme}://{f'[{host}]' if ':' in host else host}{port}{parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")}
+    if parts.username is not None:
+        out["user"] = unquote(parts.username)
+    if parts.password is not None:
+        out["password"] = unquote(parts.password)
+    return out
+
+
 def parse_config(data: dict, environ: dict[str, str] | None = None) -> Config:
     """A config from the file's mapping. Its environment settings are put into ``environ`` where nothing is set yet."""
     environ = os.environ if environ is None else environ

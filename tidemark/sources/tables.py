@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.functions.canonical import NULL_MARK
-from tidemark.sources.spec import TableSpec, database_of, quote
+from tidemark.sources.spec import TableSpec, database_of, jdbc_options, quote
 
 # Fixed schemas of scan files: nothing is inferred.
 SOURCE_SCAN = "pk bigint, source_hash bigint"
@@ -53,26 +55,26 @@ class Files:
 
     path: str
 
-    def rows(self, spark: SparkSession, spec: TableSpec, schema: str | None = None) -> DataFrame:
+    def rows(self, spark: SparkSession, spec: TableSpec, schema: str | None = None, side: str = "source", version: str | None = None, deleted: str | None = None) -> DataFrame:
         suffix = self.path.rstrip("/").rpartition(".")[2].lower()
         kind = suffix if suffix in ("csv", "json", "orc", "parquet") else "parquet"
         reader = spark.read.schema(schema) if schema else spark.read
         return reader.csv(self.path, header=True, escape='"') if kind == "csv" else reader.format(kind).load(self.path)
 
-    def size(self, spark: SparkSession, spec: TableSpec) -> int:
+    def size(self, spark: SparkSession, spec: TableSpec, side: str = "source") -> int:
         return bytes_of(self.rows(spark, spec))
 
 
 @dataclass(frozen=True)
 class Database:
     """A table over JDBC. Hashes are computed by the database, so one number a row crosses the network; reads are split by
-    ranges of the key."""
+    ranges of the key between the least and the greatest, which the database is asked for. ``load`` runs a statement given as
+    reader options; tests have their own."""
 
     url: str
     driver: str = ""
     partitions: int = 0
-    low: int = 0
-    high: int = 1 << 31
+    load: Callable[[SparkSession, dict[str, str]], DataFrame] | None = None
 
     @property
     def kind(self) -> str:
@@ -89,7 +91,12 @@ class Database:
             return "concat(" + ", ".join(f"ifNull(CAST({c} AS String), '{NULL_MARK}')" for c in q) + ")"
         return "concat(" + ", ".join(f"COALESCE(CAST({c} AS CHAR), '{NULL_MARK}')" for c in q) + ")"
 
-    def hash_query(self, spec: TableSpec, side: str, pks: list[int] | None = None, text: bool = False) -> str:
+    @property
+    def hashes(self) -> bool:
+        """Whether the database can hash rows itself."""
+        return self.kind in ("postgres", "clickhouse")
+
+    def hash_query(self, spec: TableSpec, side: str, pks: list[int] | None = None, text: bool = False, deleted: str | None = None) -> str:
         """The statement of a hash scan; with ``text`` also the hashed text, with ``pks`` only these keys."""
         columns = spec.source_columns if side == "source" else spec.target_columns
         name = spec.table if side == "source" else spec.target_name
@@ -104,7 +111,7 @@ class Database:
         elif self.kind == "clickhouse":
             shown = shown.replace("chr(", "char(")
             value, tail = f"xxh3({row})", " FINAL"
-            where.append("_peerdb_is_deleted = 0")
+            where.append(f"{quote(deleted, self._mark()) if deleted else '_peerdb_is_deleted'} = 0")
         else:
             raise ValueError(f"{self.kind} does not hash rows itself; scan its rows instead")
         return f"SELECT {key} AS pk, {value} AS {side}_hash{shown} FROM {quote(name, self._mark())}{tail}" + (" WHERE " + " AND ".join(where) if where else "")
@@ -117,18 +124,39 @@ class Database:
             return f"SELECT sum(data_uncompressed_bytes) AS bytes FROM system.columns WHERE database = currentDatabase() AND table = '{name}'"
         return f"SELECT data_length AS bytes FROM information_schema.tables WHERE table_schema = database() AND table_name = '{name}'"
 
-    def query(self, spark: SparkSession, sql: str) -> DataFrame:
-        reader = spark.read.format("jdbc").option("url", self.url if self.url.startswith("jdbc:") else f"jdbc:{self.url}")
-        if self.driver:
-            reader = reader.option("driver", self.driver)
-        if self.partitions > 1:
-            reader = reader.option("dbtable", f"({sql}) t").option("partitionColumn", "pk").option("lowerBound", self.low).option("upperBound", self.high).option("numPartitions", self.partitions)
-            return reader.load()
-        return reader.option("query", sql).load()
-
-    def rows(self, spark: SparkSession, spec: TableSpec, schema: str | None = None) -> DataFrame:
-        columns = ", ".join(quote(c, self._mark()) for c in dict.fromkeys([spec.pk, *spec.source_columns]))
-        return self.query(spark, f"SELECT {columns} FROM {quote(spec.table, self._mark())}")
+    def query(self, spark: SparkSession, sql: str, bounds: tuple[str, int, int] | None = None) -> DataFrame:
+        """A statement's rows; with the name of a whole-number column and its bounds, in ``partitions`` ranges of it at once."""
+        options = jdbc_options(self.url) | ({"driver": self.driver} if self.driver else {})
+        if bounds:
+            options |= {"dbtable": f"({sql}) t", "partitionColumn": bounds[0], "lowerBound": str(bounds[1]), "upperBound": str(bounds[2] + 1), "numPartitions": str(self.partitions)}
+        else:
+            options |= {"query": sql}
+        return self.load(spark, options) if self.load else spark.read.format("jdbc").options(**options).load()
+
+    def bounds(self, spark: SparkSession, spec: TableSpec, side: str) -> tuple[int, int] | None:
+        """The least and greatest key; None for an empty table."""
+        key = quote(spec.pk, self._mark())
+        name = quote(spec.table if side == "source" else spec.target_name, self._mark())
+        (row,) = self.query(spark, f"SELECT min({key}) AS low, max({key}) AS high FROM {name}").collect()
+        return None if row[0] is None else (int(row[0]), int(row[1]))
+
+    def _ranged(self, spark: SparkSession, spec: TableSpec, side: str, sql: str, column: str) -> DataFrame:
+        found = self.bounds(spark, spec, side) if self.partitions > 1 else None
+        return self.query(spark, sql, (column, *found) if found else None)
+
+    def rows(self, spark: SparkSession, spec: TableSpec, schema: str | None = None, side: str = "source", version: str | None = None, deleted: str | None = None) -> DataFrame:
+        """The key and the side's columns, with those that a versioned destination has besides."""
+        of_side = [*spec.source_columns] if side == "source" else [*spec.target_columns, *[c for c in (version, deleted) if c]]
+        columns = ", ".join(quote(c, self._mark()) for c in dict.fromkeys([spec.pk, *of_side]))
+        name = spec.table if side == "source" else spec.target_name
+        return self._ranged(spark, spec, side, f"SELECT {columns} FROM {quote(name, self._mark())}", spec.pk)
+
+    def scan(self, spark: SparkSession, spec: TableSpec, side: str, pks: list[int] | None = None, text: bool = False, deleted: str | None = None) -> DataFrame:
+        """pk and the side's hash (with ``text``, its text too), hashed by the database."""
+        sql = self.hash_query(spec, side, pks, text, deleted)
+        kinds = {"pk": "bigint", f"{side}_hash": "bigint" if side == "source" else "decimal(20,0)", f"{side}_text": "string"}
+        df = self.query(spark, sql) if pks is not None else self._ranged(spark, spec, side, sql, "pk")
+        return df.select(*[F.col(c).cast(kinds[c]).alias(c) for c in df.columns])
 
     def size(self, spark: SparkSession, spec: TableSpec, side: str = "source") -> int:
         (row,) = self.query(spark, self.size_query(spec, side)).collect()

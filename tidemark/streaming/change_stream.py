@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tidemark.functions.hashing import row_signature
 from tidemark.functions.mappers import RowMapper
 from tidemark.operators import changes as ch
+from tidemark.operators.scans import Hash, unsigned_signature
 from tidemark.plans.cycle import DataSet, run_cycle
 from tidemark.plans.state import StateStore
 from tidemark.sources.spec import TableSpec
@@ -25,20 +27,20 @@ def read_log(spark: SparkSession, path: str, schema: StructType | str, files_per
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def start(log: DataFrame, spec: TableSpec, mapper: RowMapper, out: str, checkpoint: str, op: str = "op", lsn: str = "lsn", continuous: str | None = None) -> StreamingQuery:
+def start(log: DataFrame, spec: TableSpec, mapper: RowMapper, out: str, checkpoint: str, op: str = "op", lsn: str = "lsn", continuous: str | None = None, hash_: Hash = row_signature, target_hash: Hash = unsigned_signature) -> StreamingQuery:
     """Begin to consume the log into ``out``. Without ``continuous`` (a processing interval) the query ends by itself."""
 
     def write(batch: DataFrame, number: int) -> None:
         last = ch.last_write(batch, "pk")
         last.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    writer = ch.hashed(log, spec, mapper, op=op, lsn=lsn).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = ch.hashed(log, spec, mapper, hash_, target_hash, op, lsn).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=continuous) if continuous else writer.trigger(availableNow=True)).start()
 
 
-def consume(log: DataFrame, spec: TableSpec, mapper: RowMapper, out: str, checkpoint: str, op: str = "op", lsn: str = "lsn") -> DataFrame:
+def consume(log: DataFrame, spec: TableSpec, mapper: RowMapper, out: str, checkpoint: str, op: str = "op", lsn: str = "lsn", hash_: Hash = row_signature, target_hash: Hash = unsigned_signature) -> DataFrame:
     """Consume what is there to its end; the change map of all batches so far, empty if there were none."""
-    start(log, spec, mapper, out, checkpoint, op, lsn).awaitTermination()
+    start(log, spec, mapper, out, checkpoint, op, lsn, None, hash_, target_hash).awaitTermination()
     return change_map(log.sparkSession, out)
 
 
@@ -53,12 +55,14 @@ def change_map(spark: SparkSession, out: str) -> DataFrame:
 
 
 def run_on_batches(log: DataFrame, store: StateStore, source_scan: DataFrame, target_scan: DataFrame, spec: TableSpec, mapper: RowMapper, checkpoint: str, op: str = "op", lsn: str = "lsn") -> StreamingQuery:
-    """Each micro-batch of the log is one incremental cycle against the scans. State versions bear the batch's number (the
-    initial load is version 0), so a repeated batch changes nothing."""
-    assert store.current() is not None, "load the state first"
+    """Each micro-batch of the log is one incremental cycle against the scans. State versions count on from the
+    initial load's by the batch's number, so a repeated batch changes nothing."""
+    if store.current() is None:
+        raise ValueError("load the state first")
+    first = store.first()
 
     def cycle(batch: DataFrame, number: int) -> None:
-        run_cycle(store, DataSet(target_scan=target_scan, source_scan=source_scan, source_changes=ch.newest_changes(batch)), version=number + 1)
+        run_cycle(store, DataSet(target_scan=target_scan, source_scan=source_scan, source_changes=ch.newest_changes(batch)), version=first + number + 1)
 
     return ch.hashed(log, spec, mapper, op=op, lsn=lsn).writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
