@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -74,3 +75,20 @@ def test_nulls_one_class_and_empty(spark):
     out = Q.score(docs, Q.fit(docs, labels)).collect()
     assert len(out) == 3 and {r.score for r in out} == {0.5} and {r.predicted for r in out} == {1}
     assert Q.score(docs.limit(0), Q.fit(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_query_by_the_contract(spark, tmp_path):
+    """Held-out accuracy of the registered query over files; every row is scored, empty and repeated ones too."""
+    rows = corpus(500, 4)
+    odd = [(9000, None), (9001, ""), (9002, "w " * 50_000), (3, rows[3][1]), (None, rows[5][1])]
+    spark.createDataFrame([*[(*r[:2], "en") for r in rows], *[(*o, None) for o in odd]], "doc_id long, text string, score string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], r[2], 0) for r in rows], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    out = Q.op6_quality_classifier(spark, str(tmp_path))
+    assert dict(out.dtypes)["score"] == "double" and {"doc_id", "held_out", "predicted"} <= set(out.columns)
+    got, truth = out.collect(), {r[0]: r[2] for r in rows}
+    assert len(got) == len(rows) + len(odd)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 5 == 0) for r in got)
+    held = [r for r in got if r.held_out and r.doc_id in truth]
+    assert len(held) > 70 and sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.95
+    twice = [r.score for r in got if r.doc_id == 3]
+    assert len(twice) == 2 and twice[0] == twice[1] == next(r.score for r in got if r.doc_id == 3)

@@ -31,11 +31,15 @@ def remainder(id_col: str, n: int) -> Column:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's, or a local one of our own where none is set (tests)."""
+    """The folder that all executors share: the session's, or one of our own where none is set and all runs on one machine (tests)."""
     sc = spark.sparkContext
     if (now := sc._jsc.sc().getCheckpointDir()).isDefined():
         return now.get()
-    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoints-")
+    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="tidemark-checkpoints-")
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
