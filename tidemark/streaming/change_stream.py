@@ -8,6 +8,8 @@ run again replaces itself.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
@@ -44,6 +46,22 @@ def consume(log: DataFrame, spec: TableSpec, mapper: RowMapper, out: str, checkp
     return change_map(log.sparkSession, out)
 
 
+def until_idle(query: StreamingQuery, seconds: float = 10.0, every: float = 0.2) -> int:
+    """Let a continuous query run until no rows have come for so long, then stop it; the number of rows that came. A log that never rests
+    is bounded by ``availableNow`` instead."""
+    rows, last, newest = 0, time.monotonic(), -1
+    while query.isActive:
+        for p in query.recentProgress:
+            if p["batchId"] > newest and p["numInputRows"] > 0:
+                rows, last, newest = rows + p["numInputRows"], time.monotonic(), p["batchId"]
+        if query.exception() is None and time.monotonic() - last >= seconds and not query.status["isTriggerActive"]:
+            query.stop()
+        time.sleep(every)
+    if (e := query.exception()) is not None:
+        raise e
+    return rows
+
+
 def change_map(spark: SparkSession, out: str) -> DataFrame:
     """pk, source_hash, target_hash from the batches under ``out``."""
     jvm = spark.sparkContext._jvm
