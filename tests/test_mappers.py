@@ -91,3 +91,8 @@ def test_families():
     with pytest.raises(ValueError, match="no such family"):
         r.add("postgres", "new", "other")
     assert families.spark_type("decimal") == "decimal(38,18)" and families.spark_type(None) == "string"
+
+
+def test_json_built_in_and_exact_give_the_same(spark):
+    texts = ['{"b":1,"a":[1,2,{"d":null,"c":true}]}', '{"n":-12,"m":1234567890123456789}', '{"x":0.10}', '{"k":"a\\nb"}', '{"k":"\\u00e9"}', '{"a":1,"a":2}', " {} ", "[]", "", "12", "-0", '{"😀":1,"z":2}', '{"é":"/","e":"<&>"}', '{"a":"' + "x" * 2000 + '"}']
+    assert values(spark, mappers.exact_json_text, texts) == [mappers.canonical_json(t) for t in texts]

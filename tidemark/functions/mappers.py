@@ -98,6 +98,9 @@ def canonical_json(text: str | None) -> str | None:
         return text
 
 
+_PRINTED_ANEW = r"[0-9][.eE]|[0-9]{16}|-0|[\\\x00-\x1F\x7F]|[\x{10000}-\x{10FFFF}]"
+
+
 def json_text(text: Column) -> Column:
     """Canonical JSON, built in: keys sorted at all depths, no spaces; invalid JSON as it is. Numbers are printed anew (1.50
     as 1.5); ``exact_json_text`` keeps them as written."""
@@ -105,13 +108,15 @@ def json_text(text: Column) -> Column:
 
 
 def exact_json_text(text: Column) -> Column:
-    """Canonical JSON with numbers as written, in Arrow batches."""
+    """Canonical JSON with numbers as written. Texts with numbers that would be printed anew, escapes, or characters that sort in another
+    way, and whatever the built-in parser refuses, go through Arrow batches; all others are built in."""
+    plain = F.when((F.octet_length(text) <= MAX_JSON_BYTES) & ~text.rlike(_PRINTED_ANEW), F.to_json(F.try_parse_json(text)))
 
     @F.pandas_udf(StringType())
     def run(values):  # noqa: ANN001, ANN202
         return values.map(canonical_json, na_action="ignore")
 
-    return run(text)
+    return F.coalesce(plain, run(F.when(plain.isNull(), text)))
 
 
 class FamilyMapper:

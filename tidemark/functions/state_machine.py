@@ -106,7 +106,7 @@ def validation_status(error: Col, so: Col, do: Col, verified: Col, target_count:
 def count_distinct_characters(text: Col) -> Column:
     """Number of distinct bytes of the UTF-8 text."""
     digits = F.hex(_col(text).cast("binary"))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2)), lambda i: F.substring(digits, i, F.lit(2)))
+    pairs = F.regexp_extract_all(digits, F.lit(".."), F.lit(0))
     return F.when(_col(text).isNull(), F.lit(None)).when(F.length(digits) == 0, 0).otherwise(F.size(F.array_distinct(pairs))).cast("int")
 
 
