@@ -237,3 +237,21 @@ def test_databases_hash_their_own_rows(spark):
     assert my.rows(spark, spec).count() == 1 and asked[-1]["query"] == "SELECT `id`, `name` FROM `shop`.`items`"
     shown = replace(seen, target=pg).inspect([1, 2])
     assert set(shown) == {"source", "extract", "target"} and any("IN (1, 2)" in o.get("query", "") for o in asked)
+
+
+def test_compacted_change_maps_say_the_same(spark, tmp_path):
+    out = str(tmp_path / "map")
+    batch = lambda n, rows: spark.createDataFrame(rows, "pk bigint, source_hash bigint, lsn bigint").selectExpr("pk", "source_hash", "cast(source_hash as decimal(20,0)) target_hash", "lsn").write.mode("overwrite").parquet(f"{out}/batch={n}")
+    said = lambda: sorted((r.pk, r.source_hash) for r in change_stream.change_map(spark, out).collect())
+    assert said() == []
+    change_stream.compact(spark, out)
+    batch(0, [(1, 10, 5), (2, 20, 6)])
+    batch(1, [(1, 11, 3), (3, 30, 7)])
+    before = said()
+    change_stream.compact(spark, out)
+    assert said() == before == [(1, 10), (2, 20), (3, 30)] and [p.name for p in (tmp_path / "map").iterdir()] == ["base=1"]
+    batch(1, [(9, 9, 9)])  # a batch that is in the base already, run again
+    batch(2, [(2, 21, 9)])
+    assert said() == [(1, 10), (2, 21), (3, 30)]
+    change_stream.compact(spark, out)
+    assert said() == [(1, 10), (2, 21), (3, 30)] and [p.name for p in (tmp_path / "map").iterdir()] == ["base=2"]

@@ -80,6 +80,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         return
     store = StateStore(spark, state)
     _report(store, cycle.run_cycle(store, data, args.initial_load), args.errors)
+    if args.change_log and not args.initial_load:
+        change_stream.compact(spark, f"{state}.changes")
 
 
 def shadow(spark: SparkSession, args: argparse.Namespace) -> None:

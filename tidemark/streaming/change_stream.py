@@ -62,14 +62,41 @@ def until_idle(query: StreamingQuery, seconds: float = 10.0, every: float = 0.2)
     return rows
 
 
-def change_map(spark: SparkSession, out: str) -> DataFrame:
-    """pk, source_hash, target_hash from the batches under ``out``."""
+def _folders(spark: SparkSession, out: str) -> tuple[int, list[int], list[int]]:
+    """The number up to which batches are in a base (-1: none), the batches after it, and the batches and bases that are not needed."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(out)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path) or not len(fs.listStatus(path)):
-        return spark.createDataFrame([], CHANGES).drop("lsn")
-    return ch.newest_changes(spark.read.schema(CHANGES).parquet(out).drop("batch"))
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    done = [n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{out}/{n}/_SUCCESS"))]
+    base = max((int(n[5:]) for n in done if n.startswith("base=")), default=-1)
+    batches = sorted(int(n[6:]) for n in done if n.startswith("batch="))
+    old = [n for n in names if n.startswith("base=") and n != f"base={base}" or n.startswith("batch=") and int(n[6:]) <= base]
+    return base, [n for n in batches if n > base], old
+
+
+def _logged(spark: SparkSession, out: str) -> DataFrame | None:
+    base, batches, _ = _folders(spark, out)
+    paths = [f"{out}/base={base}"] * (base >= 0) + [f"{out}/batch={n}" for n in batches]
+    return spark.read.schema(CHANGES).parquet(*paths) if paths else None
+
+
+def change_map(spark: SparkSession, out: str) -> DataFrame:
+    """pk, source_hash, target_hash from the base and the batches under ``out``."""
+    logged = _logged(spark, out)
+    return spark.createDataFrame([], CHANGES).drop("lsn") if logged is None else ch.newest_changes(logged)
+
+
+def compact(spark: SparkSession, out: str) -> None:
+    """Reduce all batches so far to the last write of each key, so that later cycles don't read the whole log again. The new base counts
+    when it is whole; only then older folders go."""
+    _, batches, _ = _folders(spark, out)
+    if batches:
+        ch.last_write(_logged(spark, out), "pk").write.mode("overwrite").parquet(f"{out}/base={batches[-1]}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name in _folders(spark, out)[2]:
+        fs.delete(path(f"{out}/{name}"), True)
 
 
 def run_on_batches(log: DataFrame, store: StateStore, source_scan: DataFrame, target_scan: DataFrame, spec: TableSpec, mapper: RowMapper, checkpoint: str, op: str = "op", lsn: str = "lsn") -> StreamingQuery:
