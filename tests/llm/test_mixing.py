@@ -100,3 +100,12 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b", "en", "s", 7, 8, 9, 10)], "doc_id long, text string, lang string, source string, copies long, epochs long, take long, domain long")
     (row,) = M.mixture(df, M.Mix(budget=2, domain="'d'")).collect()
     assert (row.copies, row.epochs, row["take"], row.domain) == (7, 8, 9, 10)
+
+
+def test_shares_of_very_many_tokens(spark):
+    """Tokens times weights pass 64 bits: the shares are still exact."""
+    rows = [("p", f"c{i}", 200_000_000_000_000 + i, 3 + i % 5) for i in range(300)]
+    df = spark.createDataFrame(rows, "p string, c string, room bigint, w bigint")
+    given = 40_000_000_000_000_000
+    got = {r.c: r.share for r in M._deal(df, ["p"], "c", "room", "w", F.lit(given).cast("bigint")).collect()}
+    assert sum(got.values()) == given and all(0 <= got[c] <= room for _, c, room, _ in rows)

@@ -18,7 +18,8 @@ texts are never shuffled. So a source with a third of all rows costs no more tha
 
 Cases: null domain, language or source is the name '(none)'; null and empty texts have no tokens, take part in the order
 and come along while tokens are still missing; a leaf without tokens gives nothing; weights are positive integers; rows
-that share an id stand at the same place; other columns pass through; an empty table gives an empty table.
+that share an id stand at the same place; a very long text counts with all its tokens and is taken whole; other columns pass
+through; an empty table gives an empty table. Products of tokens and weights have 37 digits.
 """
 
 from __future__ import annotations
@@ -72,7 +73,8 @@ def _deal(children: DataFrame, parent: list[str], child: str, room: str, weight:
             "__weight_left": F.sum(weight).over(whole) - F.coalesce(F.sum(weight).over(so_far), F.lit(0)),
         }
     )
-    out = out.withColumn("__full", F.col(room) * F.col("__weight_left") <= F.col(weight) * (F.col("__given") - F.col("__room_before")))
+    tokens, weights = (lambda c: c.cast("decimal(19,0)")), (lambda c: c.cast("decimal(18,0)"))  # their products pass a bigint
+    out = out.withColumn("__full", tokens(F.col(room)) * weights(F.col("__weight_left")) <= weights(F.col(weight)) * tokens(F.col("__given") - F.col("__room_before")))
     out = out.withColumns(
         {
             "__left": F.col("__given") - F.sum(F.when(F.col("__full"), F.col(room)).otherwise(0)).over(whole),
@@ -80,7 +82,8 @@ def _deal(children: DataFrame, parent: list[str], child: str, room: str, weight:
             "__upto": F.sum(F.when(F.col("__full"), 0).otherwise(F.col(weight))).over(order.rowsBetween(W.unboundedPreceding, 0)),
         }
     )
-    part = F.expr(f"__left * __upto div __open - __left * (__upto - {weight}) div __open")
+    upto = lambda x: f"cast(__left AS decimal(19,0)) * cast({x} AS decimal(18,0)) div cast(__open AS decimal(18,0))"
+    part = F.expr(f"{upto('__upto')} - {upto(f'__upto - {weight}')}")
     out = out.withColumn("share", F.when(F.col("__full"), F.col(room)).otherwise(part))
     return out.drop("__given", "__room_before", "__weight_left", "__full", "__left", "__open", "__upto")
 

@@ -11,7 +11,8 @@ covers all texts, whole.
 
 Cases: null texts count as empty, which have a score like any other; null labels, labels other than 0 and 1 and labels whose
 document is missing are left out; repeated labels of an id count once (the larger); with no or one class of labels the score
-is the smoothed share of label 1; other columns pass through; an empty table gives an empty table.
+is the smoothed share of label 1; a very long text is scored whole, in time linear in its words; rows that repeat are scored each;
+other columns pass through; an empty table gives an empty table.
 """
 
 from __future__ import annotations
