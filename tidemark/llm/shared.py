@@ -61,9 +61,9 @@ def meet(rows: DataFrame, side: DataFrame, on: list[str], size: str, total: int,
 
     Keys of over a ten-thousandth of the rows (and over 100) are at most 10,000 in number, whatever the data: they go to all tasks,
     so their rows stay where they are. All other keys are joined by a shuffle, where no key is hot. Keys are never null. Up to
-    2,000 rows in all are simply joined.
+    20,000 rows in all are simply joined.
     """
-    if total <= 2_000:
+    if total <= 20_000:
         return rows.join(side, on, how)
     most = max(100, total // 10_000)
     hot = side.where(F.col(size) > most).withColumn("__hot", F.lit(True))
