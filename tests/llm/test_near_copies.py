@@ -79,3 +79,31 @@ def test_crowds_lose_no_link(spark, monkeypatch, crowd):
     rng.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert sorted(r.doc_id for r in N.keep_one(docs).collect()) == brute_kept(rows)
+
+
+def test_far_members_give_fewer_differences(spark):
+    """Two members 60 differences from the pivot have 35 in common if they are linked, whatever nearer members there are: 26 meet, not 32."""
+    member = lambda fp, x: (0, fp, x, 100, 100, len(x), 9 * len(x) - 100)
+    rows = [member(1, list(range(60))), member(2, list(range(60))), member(3, list(range(100, 120)))]
+    at = spark.createDataFrame(rows, "p long, fp long, x array<long>, n int, np int, d int, g int")
+    got = N.differences(at, spark.createDataFrame([], "node long, root long")).collect()
+    assert sorted((r.fp, r.e) for r in got) == [(fp, e) for fp in (1, 2) for e in range(26)]
+
+
+def test_small_graphs_take_few_tasks(spark):
+    """Steps over some edges take no task for each partition of the session."""
+    sc, before = spark.sparkContext, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "50")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(61, 60)], "a long, b long")
+        sc.setJobGroup("graph", "")
+        got = {tuple(r) for r in simhash.components(edges).collect()}
+        ran = sc.statusTracker()
+        tasks = sum(ran.getStageInfo(s).numCompletedTasks for j in ran.getJobIdsForGroup("graph") for s in ran.getJobInfo(j).stageIds if ran.getStageInfo(s))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {(i, 0) for i in range(41)} | {(60, 60), (61, 60)}
+    assert tasks < 500, tasks

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Runs of ASCII white space part words; whatever else stands between them is a word.
 GAP = r"[\x20\x09-\x0D]+"
+#: Rows (of a few numbers) that one task takes at a time without a loss.
+SMALL = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +52,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame, n: int, each: int = SMALL) -> DataFrame:
+    """df, a relation of n rows, in partitions of some ``each`` rows. Small relations that are joined and grouped again and again, as
+    those of a graph, otherwise take a task and its files for every partition of the session; in one partition they need no exchange."""
+    return df.coalesce(max(1, -(-n // each)))
+
+
 def settled(df: DataFrame, condition: Column) -> DataFrame:
     """The rows where a condition on computed columns holds. Those columns are made once: a filter would otherwise be moved below
     the projection that makes them, and make them again for each mention. (Filters don't move below what is not deterministic.)"""
@@ -61,9 +69,9 @@ def meet(rows: DataFrame, side: DataFrame, on: list[str], size: str, total: int,
 
     Keys of over a ten-thousandth of the rows (and over 100) are at most 10,000 in number, whatever the data: they go to all tasks,
     so their rows stay where they are. All other keys are joined by a shuffle, where no key is hot. Keys are never null. Up to
-    20,000 rows in all are simply joined.
+    SMALL rows in all are simply joined.
     """
-    if total <= 20_000:
+    if total <= SMALL:
         return rows.join(side, on, how)
     most = max(100, total // 10_000)
     hot = side.where(F.col(size) > most).withColumn("__hot", F.lit(True))

@@ -34,7 +34,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut, meet, table, whole
+from tidemark.llm.shared import cut, gathered, meet, table, whole
 
 LINK_BITS = 2
 BLOCKS, BLOCK_BITS = 4, 16
@@ -147,13 +147,14 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while before != (now := mark(edges)):
         before, total = now, 2 * now[0]
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = gathered(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), total)
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = meet(both.where("b > a"), low, ["a"], "n", total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = meet(both.where("b > a"), low, ["a"], "n", total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = gathered(gathered(large, total).distinct(), total)
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         small = meet(large, low, ["a"], "n", total).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        edges = cut(gathered(small.unionByName(low.select("a", F.col("m").alias("b"))), total).distinct())
+    return gathered(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), 2 * now[0])
 
 
 def named(made: DataFrame, edges: DataFrame) -> DataFrame:
